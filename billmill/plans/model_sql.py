@@ -97,15 +97,16 @@ TABLES = {
     "priced_base": """
         SELECT r.* EXCLUDE (subtotal, tax, total), s.items_total, coalesce(s.n, 0) AS items,
                CAST(coalesce(s.items_total, 100) * 100 AS BIGINT)
-                 + CASE WHEN r.id % 5 = 0 THEN 75 WHEN r.id % 9 = 0 THEN 175 ELSE 0 END AS sub
-        FROM receipts_with_copies r LEFT JOIN item_sums s USING (id)""",
+                 + CASE WHEN r.src % 5 = 0 THEN 75 WHEN r.src % 9 = 0 THEN 175 ELSE 0 END AS sub
+        FROM (SELECT *, id % 1000000000000 AS src FROM receipts_with_copies) r
+        LEFT JOIN item_sums s ON s.id = r.src""",
     "priced_receipts": """
-        SELECT * EXCLUDE (sub),
-               CASE WHEN id % 6 <> 0 THEN CAST(CAST(sub AS DECIMAL(14,0)) * 0.01
+        SELECT * EXCLUDE (sub, src),
+               CASE WHEN src % 6 <> 0 THEN CAST(CAST(sub AS DECIMAL(14,0)) * 0.01
                  AS DECIMAL(12,2)) END AS subtotal,
-               CASE WHEN id % 6 <> 0 THEN CAST(CAST(sub * 18 // 100 AS DECIMAL(14,0)) * 0.01
+               CASE WHEN src % 6 <> 0 THEN CAST(CAST(sub * 18 // 100 AS DECIMAL(14,0)) * 0.01
                  AS DECIMAL(12,2)) END AS tax,
-               CAST(CAST(sub + sub * 18 // 100 + CASE WHEN id % 11 = 0 THEN 500 ELSE 0 END
+               CAST(CAST(sub + sub * 18 // 100 + CASE WHEN src % 11 = 0 THEN 500 ELSE 0 END
                  AS DECIMAL(14,0)) * 0.01 AS DECIMAL(12,2)) AS total
         FROM priced_base""",
     "receipt_view": """

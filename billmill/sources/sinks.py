@@ -12,7 +12,7 @@ CSV_HEADER = {
     "category": "Category", "subtotal": "Subtotal", "tax": "Tax", "total": "Total",
     "ref_no": "Reference", "file_ref_no": "File",
 }
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def csv_rows(view: DataFrame, query: ReceiptQuery) -> DataFrame:
