@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from billmill.functions.text import clean_text
+from billmill.functions.text import collapsed, let
 
 # fixed values: how dates are printed
 MONTH = (
@@ -47,7 +47,7 @@ def full_year(year: Column) -> Column:
 
 def _read(match: Column, form: str, parts: tuple[int, int, int]) -> Column:
     day, month, year = (F.regexp_extract(match, f"(?iU){form}", part) for part in parts)
-    number = F.when(month.rlike("^[0-9]"), month).otherwise(month_number(month).cast("string"))
+    number = month if MONTH not in form else month_number(month).cast("string")
     return make_date(F.lpad(full_year(year.try_cast("int")).cast("string"), 4, "0"), number, day)
 
 
@@ -55,27 +55,32 @@ def _found(plain: Column, form: str, before: str, after: str, parts: tuple) -> C
     """Every date of one form with its place. The form's matches are marked in the text, so
     a match's place is the length of everything before its mark."""
     pattern = f"(?iU){before}{form}{after}"
-    pieces = F.split(F.regexp_replace(plain, pattern, "\u0001$0"), "\u0001")
-    return F.transform(
-        F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)),
-        lambda match, i: F.struct(
-            F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), "")).alias("at"),
-            _read(match, form, parts).alias("day"),
+    return let(
+        F.split(F.regexp_replace(plain, pattern, "\u0001$0"), "\u0001"),
+        lambda pieces: F.transform(
+            F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)),
+            lambda match, i: F.struct(
+                F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), "")).alias("at"),
+                _read(match, form, parts).alias("day"),
+            ),
         ),
     )
 
 
 def find_date(text: Column) -> Column:
     """The first readable date in a text."""
-    plain = F.translate(text, "\u0001", " ")
-    found = F.concat(*(_found(plain, *form) for form in FORMS))
-    readable = F.filter(found, lambda c: c["day"].isNotNull())
-    return F.when(text.rlike("[0-9]"), F.array_min(readable)["day"])
+
+    def first(plain: Column) -> Column:
+        found = F.concat(*(_found(plain, *form) for form in FORMS))
+        readable = F.filter(found, lambda c: c["day"].isNotNull())
+        return F.when(plain.rlike("[0-9]"), F.array_min(readable)["day"])
+
+    return let(F.translate(text, "\u0001", " "), first)
 
 
 def parse_date(value: Column) -> Column:
     """A printed date, or a date/timestamp cell written as yyyy-MM-dd[ HH:mm:ss]."""
-    return find_date(clean_text(value))
+    return find_date(collapsed(value))
 
 
 def financial_year_start(day: Column) -> Column:

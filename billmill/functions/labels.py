@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from billmill.functions.text import normalize_label, strip_chars
+from billmill.functions.text import let, normalize_label, strip_chars
 from billmill.model import FIELD_LABELS, ITEM_HEADERS, LABELS, MONEY_FIELDS, Label
 
 NOT_ALNUM = r"(?![\p{L}\p{N}])"
@@ -55,16 +55,22 @@ def match_label(raw: Column, labels: list[Label] | None = None) -> Column:
     """struct(field, label, priority, rest) of the longest label a text starts with, or null."""
     labels = LABELS if labels is None else labels
     pattern = f"^({alternation(x.text for x in labels)}){NOT_ALNUM}"
-    label = F.regexp_extract(normalize_label(raw), pattern, 1)
-    return F.when(
-        label != "",
-        F.struct(
-            lookup({x.text: x.field for x in labels}, label).alias("field"),
-            label.alias("label"),
-            lookup({x.text: x.rank for x in labels}, label).alias("priority"),
-            rest_after(raw, lookup({x.text: value_pattern(x.text) for x in labels}, label)).alias("rest"),
-        ),
-    )
+    fields = {x.text: x.field for x in labels}
+    ranks = {x.text: x.rank for x in labels}
+    values = {x.text: value_pattern(x.text) for x in labels}
+
+    def named(label: Column) -> Column:
+        return F.when(
+            label != "",
+            F.struct(
+                lookup(fields, label).alias("field"),
+                label.alias("label"),
+                lookup(ranks, label).alias("priority"),
+                let(lookup(values, label), lambda p: rest_after(raw, p)).alias("rest"),
+            ),
+        )
+
+    return let(F.regexp_extract(normalize_label(raw), pattern, 1), named)
 
 
 def label_field(raw: Column) -> Column:
@@ -105,12 +111,12 @@ def label_before(part: Column) -> Column:
     """The words in front of the first amount of a text, if they can be a label."""
     head = F.split(part, r"(?iU)(?:₹|\brs\.?|\binr)?\s*\d", 2)[0]
     label = F.regexp_replace(normalize_label(head), r"(?U)\s*\b(rs|inr)$", "")
-    label = strip_chars(label, " -:()[]")
-    fits = label.rlike("[a-z]") & F.length(label).between(2, 60)
-    return F.when(fits, label)
+    return let(
+        strip_chars(label, " -:()[]"),
+        lambda x: F.when(x.rlike("[a-z]") & F.length(x).between(2, 60), x),
+    )
 
 
 def builtin_field(label: Column) -> Column:
     """The field a label already means, when it is exactly a known label."""
-    match = match_label(label)
-    return F.when(match["label"] == label, match["field"])
+    return lookup({x.text: x.field for x in LABELS}, F.when(normalize_label(label) == label, label))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from billmill.functions.text import blank_to_null, clean_text
+from billmill.functions.text import collapsed
 from billmill.model import MONEY, QUANTITY, TOLERANCE
 
 # fixed values: how money is printed
@@ -18,19 +18,16 @@ NUMBER_TOKEN = r"^\(?-?(?:\d{1,3}(?:,\d{2,3})+|\d+)(?:\.\d+)?\)?$"
 
 def parse_amount(value: Column) -> Column:
     """Printed money: currency marks, commas and spaces go; (1.00) is negative; else null."""
-    text = F.trim(F.regexp_replace(value.cast("string"), CURRENCY, ""))
-    digits = F.translate(F.btrim(text, F.lit("()")), ", ", "")
-    amount = F.when(digits.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), digits.try_cast(MONEY))
-    negative = text.startswith("(") & text.endswith(")")
-    return F.when(negative, -amount).otherwise(amount).cast(MONEY)
+    bare = F.translate(F.trim(F.regexp_replace(value.cast("string"), CURRENCY, "")), ", ", "")
+    signed = F.btrim(F.regexp_replace(bare, r"^\(+(.*?)\)+$", "-$1"), F.lit("()"))
+    number = F.regexp_extract(F.regexp_replace(signed, "^--", ""), r"^-?[0-9]+(?:\.[0-9]+)?$", 0)
+    return number.try_cast(MONEY)
 
 
 def parse_quantity(value: Column) -> Column:
     """The number a quantity starts with: '12.35 L' is 12.350."""
-    leading = F.regexp_extract(
-        F.translate(clean_text(value), ",", ""), r"^([0-9]+(?:\.[0-9]+)?)", 1
-    )
-    return blank_to_null(leading).try_cast(QUANTITY)
+    plain = F.translate(collapsed(value), ",", "")
+    return F.regexp_extract(plain, r"^[0-9]+(?:\.[0-9]+)?", 0).try_cast(QUANTITY)
 
 
 def amounts_in(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Text columns: tidying, labels as printed, file names. Null in, null out."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,19 @@ def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often `use` names it. Inside lambdas
+    nothing else removes repeated work."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def collapsed(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value.cast("string"), SPACES, " "))
+
+
 def clean_text(value: Column) -> Column:
     """White space collapsed to single spaces; nothing left is null."""
-    return blank_to_null(F.trim(F.regexp_replace(value.cast("string"), SPACES, " ")))
+    return blank_to_null(collapsed(value))
 
 
 def strip_chars(value: Column, chars: str) -> Column:
@@ -24,16 +36,15 @@ def strip_chars(value: Column, chars: str) -> Column:
 
 
 def clean_vendor(value: Column) -> Column:
-    tidy = strip_chars(clean_text(value), " :,-|*")
-    return blank_to_null(F.substring(tidy, 1, 255))
+    return blank_to_null(F.substring(strip_chars(collapsed(value), " :,-|*"), 1, 255))
 
 
 def clean_receipt_number(value: Column, is_number: Column | None = None) -> Column:
     """A receipt number has a digit in it. Numeric cells lose their '.0'."""
-    text = strip_chars(clean_text(value), " :#.-")
+    text = strip_chars(collapsed(value), " :#.-")
     if is_number is not None:
         text = F.when(is_number, F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
-    return F.when(text.rlike(r"\p{Nd}"), blank_to_null(F.substring(text, 1, 64)))
+    return F.when(text.rlike(r"\p{Nd}"), F.substring(text, 1, 64))
 
 
 def normalize_label(text: Column) -> Column:
