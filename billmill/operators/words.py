@@ -2,7 +2,6 @@
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,46 +9,60 @@ from pyspark.sql import functions as F
 from billmill.functions import text
 from billmill.model import SCHEMAS
 
+LINE_COLUMNS = ["file_id", "page", "line_no", "text"]
 
-def _page_lines(page: pd.DataFrame) -> pd.DataFrame:
-    """Which printed line each word of a page belongs to. A word joins one of the last three
-    lines when its centre lies in the middle of that line's first word, or the other way
-    round; this depends on the words before it, so it is the one loop of the engine."""
-    top, bottom = page["top"].to_numpy(), page["bottom"].to_numpy()
-    centre = (top + bottom) / 2
-    margin = np.maximum(bottom - top, 1.0) * 0.25
-    line_of = np.full(len(page), -1)
-    firsts: list[int] = []
-    for word in np.argsort(centre, kind="stable"):
-        for line in range(len(firsts) - 1, max(len(firsts) - 4, -1), -1):
-            first = firsts[line]
-            edge = min(margin[first], margin[word])
-            covers = top[first] + edge <= centre[word] <= bottom[first] - edge
-            covered = top[word] + edge <= centre[first] <= bottom[word] - edge
-            if covers or covered:
-                line_of[word] = line
-                break
-        else:
-            line_of[word] = len(firsts)
-            firsts.append(word)
-    return pd.DataFrame(
-        {
-            "file_id": page["file_id"], "page": page["page"], "line_no": line_of,
-            "left": page["left"], "text": page["text"],
-        }
-    )
+
+def _lines_of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Printed lines of pages whose words arrive page by page, from top to bottom.
+
+    A word joins one of the last three lines when its centre lies in the middle of that
+    line's first word, or the other way round. That depends on the words before it, so it is
+    the one sequential loop here; only the page at hand is held.
+    """
+    page: tuple | None = None
+    lines: list[list[tuple]] = []
+
+    def printed() -> list[tuple]:
+        texts = [" ".join(w[2] for w in sorted(line, key=lambda w: w[3])) for line in lines]
+        return [(*page, number, text) for number, text in enumerate(texts)]
+
+    for batch in batches:
+        done: list[tuple] = []
+        columns = [batch[c].tolist() for c in ("file_id", "page", "top", "bottom", "text", "left")]
+        for file_id, number, top, bottom, text, left in zip(*columns, strict=True):
+            if page != (file_id, number):
+                if page is not None:
+                    done += printed()
+                page, lines = (file_id, number), []
+            word = (top, bottom, text, left)
+            for line in reversed(lines[-3:]):
+                if _overlap(line[0], word):
+                    line.append(word)
+                    break
+            else:
+                lines.append([word])
+        yield pd.DataFrame(done, columns=LINE_COLUMNS)
+    if page is not None:
+        yield pd.DataFrame(printed(), columns=LINE_COLUMNS)
+
+
+def _overlap(first: tuple, word: tuple) -> bool:
+    """Either centre lies within the other's height, a quarter of the lower one off."""
+    margin = 0.25 * min(max(w[1] - w[0], 1.0) for w in (first, word))
+    inside = lambda a, b: b[0] + margin <= (a[0] + a[1]) / 2 <= b[1] - margin
+    return inside(word, first) or inside(first, word)
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
-    """Lines (file_id, page, line_no, text) from word boxes; a page is one small group."""
-    placed = words.groupBy("file_id", "page").applyInPandas(
-        lambda page: _page_lines(page),
-        "file_id string, page int, line_no int, left double, text string",
-    )
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda w: w["text"]), " "
+    """Lines (file_id, page, line_no, text) from word boxes: one exchange by page, then one
+    pass over each partition's sorted words."""
+    centre = (F.col("top") + F.col("bottom")) / 2
+    ordered = words.repartition("file_id", "page").sortWithinPartitions(
+        "file_id", "page", centre, "left"
     )
-    return placed.groupBy("file_id", "page", "line_no").agg(text.tidy_ocr(joined).alias("text"))
+    read = ordered.select("file_id", "page", "top", "bottom", "text", "left")
+    lines = read.mapInPandas(_lines_of_pages, SCHEMAS["lines"])
+    return lines.withColumn("text", text.tidy_ocr(F.col("text")))
 
 
 def page_scores(words: DataFrame) -> DataFrame:

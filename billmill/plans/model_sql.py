@@ -11,9 +11,9 @@ TABLES = {
         FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)""",
     "printed_vendors": """
         SELECT c.c_custkey AS id, CASE (c.c_custkey // 100) % 3
-                 WHEN 0 THEN 'Vendor ' || lpad(CAST(c.c_custkey % 100 AS VARCHAR), 3, '0')
-                 WHEN 1 THEN 'VENDOR ' || lpad(CAST(c.c_custkey % 100 AS VARCHAR), 3, '0')
-                 ELSE '  Vendor ' || lpad(CAST(c.c_custkey % 100 AS VARCHAR), 3, '0') || ' ,' END
+                 WHEN 0 THEN 'Trader ' || lpad(CAST(c.c_custkey % 100 AS VARCHAR), 3, '0')
+                 WHEN 1 THEN 'TRADER ' || lpad(CAST(c.c_custkey % 100 AS VARCHAR), 3, '0')
+                 ELSE '  Trader ' || lpad(CAST(c.c_custkey % 100 AS VARCHAR), 3, '0') || ' ,' END
                  AS printed,
                k.id AS default_category_id
         FROM customer c LEFT JOIN categories k
@@ -156,7 +156,7 @@ TABLES = {
                id % 8 <> 1 AND id % 9 <> 0, CASE WHEN id % 12 = 0 THEN id * 2 - 1 END
         FROM files WHERE id % 4 <> 2""",
     "vendor_labels": """
-        SELECT DISTINCT 'vendor ' || lpad(CAST(c_custkey % 100 AS VARCHAR), 3, '0') AS vendor_key,
+        SELECT DISTINCT 'trader ' || lpad(CAST(c_custkey % 100 AS VARCHAR), 3, '0') AS vendor_key,
                ['subtotal','tax','total'][CAST(c_custkey % 3 + 1 AS INT)] AS field,
                ['before gst','levy','to settle'][CAST(c_custkey % 3 + 1 AS INT)] || ' '
                  || (c_custkey % 20) AS label

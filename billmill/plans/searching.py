@@ -82,9 +82,9 @@ def _(spark, d):
     return search.matching(b.receipt_view(spark, d), q).select(*search.ROW_COLUMNS)
 
 
-@query("pre5_exact_vendor", where("vendor = 'Vendor 012'"))
+@query("pre5_exact_vendor", where("vendor = 'Trader 012'"))
 def _(spark, d):
-    return found(spark, d, vendor="Vendor 012")
+    return found(spark, d, vendor="Trader 012")
 
 
 @query("pre6_exact_category", where("category_id = 2"))
@@ -98,10 +98,10 @@ def _(spark, d):
 
 
 @query("pre8_all_filters", where("""receipt_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'
-    AND vendor = 'Vendor 007' AND category_id = 3 AND total >= 500 AND total <= 400000"""))
+    AND vendor = 'Trader 007' AND category_id = 3 AND total >= 500 AND total <= 400000"""))
 def _(spark, d):
     return found(spark, d, date_from=date(1998, 1, 1), date_to=date(2000, 12, 31),
-                 vendor="Vendor 007", category_id=3, min_total=Decimal(500),
+                 vendor="Trader 007", category_id=3, min_total=Decimal(500),
                  max_total=Decimal(400000))
 
 

@@ -42,7 +42,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def printed_vendor(key: Column) -> Column:
-    base = F.concat(F.lit("Vendor "), F.lpad((key % 100).cast("string"), 3, "0"))
+    base = F.concat(F.lit("Trader "), F.lpad((key % 100).cast("string"), 3, "0"))
     variant = div(key, 100) % 3
     return (
         F.when(variant == 0, base)
