@@ -1,6 +1,6 @@
 """Importing this module registers every named query."""
 
-from billmill.plans import checking, filing, reading, registering, searching  # noqa: F401
+from billmill.plans import checking, comparing, filing, reading, registering, searching  # noqa: F401
 from billmill.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
