@@ -26,13 +26,18 @@ def with_lookup(df: DataFrame, side: DataFrame, key: str, side_key: str, how: st
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], how_many: int = 1
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    how_many: int = 1,
+    rank: str | None = None,
 ) -> DataFrame:
     """The first rows of each key. The rank limit is pushed below the shuffle, so a map task
-    sends at most `how_many` rows per key, however many the key has."""
+    sends at most `how_many` rows per key, however many the key has. `rank` keeps the rank."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(window))
-    return ranked.filter(F.col("_rank") <= how_many).drop("_rank")
+    name = rank or "_rank"
+    ranked = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= how_many)
+    return ranked if rank else ranked.drop(name)
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:

@@ -1,6 +1,15 @@
 """Importing this module registers every named query."""
 
-from billmill.plans import checking, comparing, filing, reading, registering, searching  # noqa: F401
+from billmill.plans import (  # noqa: F401
+    asking,
+    checking,
+    comparing,
+    filing,
+    reading,
+    registering,
+    scalars,
+    searching,
+)
 from billmill.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -423,7 +423,7 @@ def bills(spark, d):
     n = F.col("vendor_id")
     word = F.element_at(F.array(F.lit("Before GST"), F.lit("Levy"), F.lit("To settle")), (n % 3 + 1).cast("int"))
     rows = b.receipts(spark, d).join(v, "vendor_id")
-    line = F.concat(F.lit("Hello\n"), word, F.lit(" "), (n % 20).cast("string"), F.lit(": Rs. "), F.col("total").cast("string"),
+    line = F.concat(F.lit("Hello\n"), word, F.lit(" "), b.label_number(n).cast("string"), F.lit(": Rs. "), F.col("total").cast("string"),
                     F.lit("\nTotally 9.00"))
     return rows.select(
         "id", "file_id", "vendor_id", "vendor", "receipt_date", "receipt_number",
@@ -435,7 +435,8 @@ def bills(spark, d):
 
 USABLE = """(SELECT r.id, r.total AS printed, r.vendor_id, lower(v.normalized_name) AS vendor_key,
     ['subtotal','tax','total'][CAST(r.vendor_id % 3 + 1 AS INT)] AS field,
-    ['before gst','levy','to settle'][CAST(r.vendor_id % 3 + 1 AS INT)] || ' ' || (r.vendor_id % 20) AS label
+    ['before gst','levy','to settle'][CAST(r.vendor_id % 3 + 1 AS INT)] || ' '
+      || (CASE WHEN r.vendor_id % 3 = 0 THEN r.vendor_id % 20 ELSE r.vendor_id % 10 END) AS label
   FROM receipts r JOIN vendors v ON v.id = r.vendor_id)"""
 FILLED = f"""(SELECT * FROM {USABLE} u WHERE (field = 'subtotal' OR (field = 'tax' AND id % 2 <> 0) OR (field = 'total' AND id % 5 <> 0))
     AND (EXISTS (SELECT 1 FROM vendor_labels l WHERE l.vendor_key = u.vendor_key AND l.field = u.field AND l.label = u.label)

@@ -147,7 +147,7 @@ TABLES = {
                uploaded_at AS finished_at, uploaded_at AS created_at, true AS has_result,
                CAST(NULL AS BIGINT) AS cached_from_id
         FROM files UNION ALL
-        SELECT id * 2 + 1, id, sha256, 'ai', CASE WHEN id % 2 = 0 THEN 'openai' ELSE 'gemini' END,
+        SELECT id * 2 + 1, id, sha256, 'ai', CASE WHEN (id // 20) % 2 = 0 THEN 'openai' ELSE 'gemini' END,
                CASE WHEN id % 25 <> 0 THEN 'reader-1' END, CASE WHEN id % 30 <> 0 THEN 'asha' END,
                uploaded_at + to_hours(CAST(id % 24 AS INT)), id % 3 = 0,
                CASE WHEN id % 8 = 1 THEN 'The call failed.' END,
@@ -159,7 +159,7 @@ TABLES = {
         SELECT DISTINCT 'trader ' || lpad(CAST(c_custkey % 100 AS VARCHAR), 3, '0') AS vendor_key,
                ['subtotal','tax','total'][CAST(c_custkey % 3 + 1 AS INT)] AS field,
                ['before gst','levy','to settle'][CAST(c_custkey % 3 + 1 AS INT)] || ' '
-                 || (c_custkey % 20) AS label
+                 || (CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 20 ELSE c_custkey % 10 END) AS label
         FROM customer WHERE c_custkey % 100 < 40""",
 }
 

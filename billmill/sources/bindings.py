@@ -291,7 +291,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = base.filter(key % 4 != 2)
     second = asked.select(
         (key * 2 + 1).alias("id"), key.alias("file_id"), "sha256", F.lit("ai").alias("parser"),
-        F.when(key % 2 == 0, "openai").otherwise("gemini").alias("provider"),
+        F.when(div(key, 20) % 2 == 0, "openai").otherwise("gemini").alias("provider"),
         F.when(key % 25 != 0, "reader-1").alias("model"),
         F.when(key % 30 != 0, "asha").alias("ai_approved_by"),
         (F.col("uploaded_at") + F.make_dt_interval(hours=(key % 24).cast("int"))).alias(
@@ -306,6 +306,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.unionByName(second)
 
 
+def label_number(key: Column) -> Column:
+    return F.when(key % 3 == 0, key % 20).otherwise(key % 10)
+
+
 def vendor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that corrections taught, per vendor key."""
     key = F.col("c_custkey")
@@ -317,6 +321,6 @@ def vendor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(
             F.element_at(F.array(F.lit("before gst"), F.lit("levy"), F.lit("to settle")),
                          (key % 3 + 1).cast("int")),
-            F.lit(" "), (key % 20).cast("string"),
+            F.lit(" "), label_number(key).cast("string"),
         ).alias("label"),
     ).distinct()
