@@ -29,14 +29,14 @@ ANY_DATE = "(?:" + "|".join(form.replace("(", "(?:").replace("(?:?:", "(?:")
 
 def make_date(year: Column, month: Column, day: Column) -> Column:
     """A date from its parts, given as text or numbers; null when there is no such day."""
-    return F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")).try_cast(
-        "date"
-    )
+    dash = F.lit("-")
+    text = F.concat(year.cast("string"), dash, month.cast("string"), dash, day.cast("string"))
+    return text.try_cast("date")
 
 
 def month_number(name: Column) -> Column:
     at = F.instr(F.lit(MONTH_STARTS), F.lower(F.substring(name, 1, 3)))
-    return ((at + 2) / 3).cast("int")
+    return F.when((at > 0) & (name != ""), (at + 2) / 3).cast("int")
 
 
 def full_year(year: Column) -> Column:

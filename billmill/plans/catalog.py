@@ -5,6 +5,7 @@ from billmill.plans import (  # noqa: F401
     checking,
     comparing,
     filing,
+    flowing,
     reading,
     registering,
     scalars,

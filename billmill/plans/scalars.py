@@ -169,13 +169,13 @@ def _(spark, d):
         "id", "amount", "day", "number")
 
 
-@query("udf5_weighted_mean", """SELECT o_custkey AS custkey, CAST(round(sum(CAST(o_totalprice AS DECIMAL(12,2)) * (o_orderkey % 7 + 1))
-    / sum(o_orderkey % 7 + 1), 2) AS DECIMAL(14,2)) AS mean FROM orders GROUP BY 1""")
+@query("udf5_weighted_mean", """SELECT o_custkey AS custkey, CAST(floor(sum(CAST(o_totalprice AS DECIMAL(12,2)) * (o_orderkey % 7 + 1))
+    / sum(o_orderkey % 7 + 1)) AS BIGINT) AS mean FROM orders GROUP BY 1""")
 def _(spark, d):
     weight = (F.col("o_orderkey") % 7 + 1).cast("decimal(3,0)")
     mean = F.sum(F.col("o_totalprice").cast("decimal(12,2)") * weight) / F.sum(weight)
     return b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(
-        F.round(mean, 2).cast("decimal(14,2)").alias("mean"))
+        F.floor(mean).cast("bigint").alias("mean"))
 
 
 @query("labels_of_all_lines")
