@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from billmill.functions import dates, money
 from billmill.operators import questions as ops
+from billmill.operators.skew import spread
 from billmill.plans.registry import query
 from billmill.sources import bindings as b
 
@@ -30,7 +31,7 @@ def asked(spark, d):
         parts = [p.strip() for p in template.split("||")]
         said = F.concat(*[name if p == "name" else F.lit(p[1:-1]) for p in parts])
         texts = F.when(n % 10 == i, said).otherwise(texts)
-    return b.table(spark, d, "customer").select(n.alias("qid"), texts.alias("question"))
+    return spread(b.table(spark, d, "customer")).select(n.alias("qid"), texts.alias("question"))
 
 
 def tagged(spark, d):

@@ -331,7 +331,7 @@ def _(spark, d):
     1 AS items, r.total AS amount FROM receipts r JOIN vendors v ON v.id = r.vendor_id""")
 def _(spark, d):
     v = b.printed_vendors(spark, d).select(F.col("id").alias("vendor_id"), "printed")
-    rows = b.receipts(spark, d).join(v, "vendor_id")
+    rows = b.receipts(spark, d, dealt=True).join(v, "vendor_id")
     item = lambda name, amount: F.struct(name.alias("description"), F.lit("2 kg").alias("quantity"),
                                          F.lit(None).cast("string").alias("unit_price"), amount.alias("amount"))
     total = F.concat(F.lit("Rs. "), F.format_number("total", 2))
@@ -422,7 +422,7 @@ def bills(spark, d):
     v = b.printed_vendors(spark, d).select(F.col("id").alias("vendor_id"), text.clean_vendor(F.col("printed")).alias("vendor"))
     n = F.col("vendor_id")
     word = F.element_at(F.array(F.lit("Before GST"), F.lit("Levy"), F.lit("To settle")), (n % 3 + 1).cast("int"))
-    rows = b.receipts(spark, d).join(v, "vendor_id")
+    rows = b.receipts(spark, d, dealt=True).join(v, "vendor_id")
     line = F.concat(F.lit("Hello\n"), word, F.lit(" "), b.label_number(n).cast("string"), F.lit(": Rs. "), F.col("total").cast("string"),
                     F.lit("\nTotally 9.00"))
     return rows.select(

@@ -12,7 +12,7 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = b.printed_vendors(spark, sf_dir).select(F.col("id").alias("vendor_id"), "printed")
     half = money.from_cents(b.div((F.col("tax") * 100).cast("bigint"), 2))
     return (
-        b.receipts(spark, sf_dir)
+        b.receipts(spark, sf_dir, dealt=True)
         .join(v, "vendor_id", "left")
         .withColumn("cgst", half)
         .withColumn("sgst", (F.col("tax") - half).cast("decimal(12,2)"))
