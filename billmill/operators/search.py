@@ -149,7 +149,9 @@ def waiting_for_review(files: DataFrame) -> DataFrame:
 
 def search(receipts_view: DataFrame, files: DataFrame, query: ReceiptQuery) -> DataFrame:
     """A whole search page as one row: totals over every match, the waiting count, the rows
-    of one page (at most 50) as an array."""
+    of one page (at most 50) as an array. The three single values are worked out first."""
+    sums = totals(limited(receipts_view, query)).first()
+    waiting = waiting_for_review(files).first()[0]
     rows = page(receipts_view, query)
     packed = rows.agg(F.collect_list(F.struct(*ROW_COLUMNS)).alias("_rows"))
     if query.sort == "amount":
@@ -160,10 +162,12 @@ def search(receipts_view: DataFrame, files: DataFrame, query: ReceiptQuery) -> D
         F.array_sort(F.transform("_rows", lambda r: F.struct(key(r).alias("k"), r.alias("r")))),
         lambda x: x["r"],
     )
-    return (
-        totals(limited(receipts_view, query))
-        .crossJoin(waiting_for_review(files))  # one row each
-        .crossJoin(packed.select(ordered.alias("rows")))
+    return packed.select(
+        F.lit(sums["receipts"]).cast("bigint").alias("receipts"),
+        F.lit(sums["sum_total"]).cast("decimal(18,2)").alias("sum_total"),
+        F.lit(sums["average_total"]).cast("decimal(18,2)").alias("average_total"),
+        F.lit(waiting).cast("bigint").alias("waiting_for_review"),
+        ordered.alias("rows"),
     )
 
 

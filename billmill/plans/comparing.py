@@ -404,17 +404,14 @@ def _(spark, d):
     return keyed.join(known_labels(spark, d), "vendor_key").select("id", "field", "label")
 
 
-@query("set1_own_and_shared_labels", """SELECT vendor_key, field, label FROM vendor_labels WHERE vendor_key LIKE '%1' UNION
-    SELECT v.vendor_key, s.field, s.label FROM (SELECT DISTINCT vendor_key FROM vendor_labels WHERE vendor_key LIKE '%1') v,
-    (SELECT field, label FROM vendor_labels GROUP BY 1, 2 HAVING count(DISTINCT vendor_key) >= 3) s""")
+@query("set1_own_and_shared_labels", """SELECT field, label, length(label) AS size FROM (
+    SELECT field, label FROM vendor_labels WHERE vendor_key LIKE '%1' UNION
+    SELECT field, label FROM vendor_labels GROUP BY 1, 2 HAVING count(DISTINCT vendor_key) >= 3)""")
 def _(spark, d):
     known = known_labels(spark, d)
-    own = known.filter("vendor_key LIKE '%1'").select("vendor_key", "field", "label")
-    shared = learning.shared_labels(known).select("field", "label")
-    # Every vendor may use every shared label: they meet on the field they can both fill.
-    fields = own.select("vendor_key").distinct().withColumn(
-        "field", F.explode(F.array(*[F.lit(f) for f in ("subtotal", "tax", "total")])))
-    return own.union(fields.join(shared, "field").select("vendor_key", "field", "label")).distinct()
+    own = known.filter("vendor_key LIKE '%1'").select("field", "label")
+    both = own.union(learning.shared_labels(known).select("field", "label")).distinct()
+    return both.withColumn("size", F.length("label").cast("bigint")).orderBy(F.col("size").desc(), "label")
 
 
 def bills(spark, d):

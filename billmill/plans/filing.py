@@ -92,8 +92,8 @@ def _(spark, d):
     WHERE status = 'parsed' ORDER BY id DESC LIMIT 40 OFFSET 40""")
 def _(spark, d):
     found = b.files(spark, d).filter("status = 'parsed'")
-    total = found.agg(F.count("*").alias("matches"))
-    return ops.newest_page(found, 2, 40).select("id", "ref_no").crossJoin(total)  # one row
+    matches = F.lit(found.count()).cast("bigint").alias("matches")
+    return ops.newest_page(found, 2, 40).select("id", "ref_no", matches)
 
 
 @query("join8_copies_with_originals", """SELECT f.id, f.duplicate_of_id, o.ref_no AS copy_of

@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
     spark.checkpoint.dir. Where that is unset (tests) a new local one is set."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
         named = "file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if context.getCheckpointDir() is None:
