@@ -3,9 +3,10 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billmill.llm import token_counts
-from billmill.llm.common import table
+from billmill.llm import language, ngram_join, sharding, token_counts, warc
+from billmill.llm.common import split_of, table
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -23,6 +24,50 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return add
 
 
+# Base32 of a 40-bit piece of a digest, eight characters of five bits each.
+_BASE32 = "".join(
+    f"|| substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {10 * piece + 1}, 10))::BIGINT >> {5 * (7 - i)}) & 31)::INT, 1)"
+    for piece in range(4)
+    for i in range(8)
+)
+
+
+@query("op3_warc_index_merge", f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+      split_part(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#', 1) AS rest FROM pages),
+    k AS (SELECT page_id, strlen(html) AS payload_bytes, '' {_BASE32} AS payload_digest,
+      coalesce(array_to_string(list_reverse(string_split(lower(regexp_replace(regexp_extract(rest, '^[^/?]*'), ':[0-9]*$', '')),
+        '.')), ',') || ')' || CASE WHEN rest = regexp_extract(rest, '^[^/?]*') THEN '/'
+        ELSE substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) END, '') AS url_key FROM p),
+    f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM k GROUP BY ALL)
+    SELECT page_id, k.payload_bytes, k.payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to, url_key,
+      row_number() OVER (ORDER BY url_key, page_id) - 1 AS position
+    FROM k JOIN f USING (payload_digest, payload_bytes)""")
+def _(spark, d):
+    # The table has no capture time; one page a second, in order of the ids, stands for it.
+    captured = F.timestamp_seconds(F.lit(1_577_836_800) + F.col("page_id"))
+    entries = warc.archive(table(spark, d, "pages").withColumn("captured", captured))
+    return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
+@query("op5_ngram_jaccard_join")
+def _(spark, d):
+    return ngram_join.join(table(spark, d, "documents"))
+
+
+@query("op6_shards_by_vector_packing")
+def _(spark, d):
+    placed = sharding.shard_documents(table(spark, d, "documents"), 16)
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_language_id")
+def _(spark, d):
+    held_out = split_of(F.col("doc_id"), 4) == 2
+    found = language.identify(table(spark, d, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_token_counts")
 def _(spark, d):
     pieces = token_counts.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
