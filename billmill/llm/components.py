@@ -1,10 +1,14 @@
-"""Connected components of links between rows."""
+"""Connected components of links, and of links that are found group by group."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billmill.llm.common import staged
 
+FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of links (a, b), every node once.
@@ -24,3 +28,42 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "component")
         if jumped.filter("component <> was").isEmpty():
             return labels
+
+
+def components_of_groups(rows: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components over all links between members of one group, where `rows` (token, rep) says
+    which members a group has, and `verified` keeps the pairs (a, b) that link. None if no two
+    members share a group.
+
+    Each round compares every group's first members (its pivots) with all others that are not
+    yet in their component, and takes the pivots out. Groups of one component are done. So each
+    pair that shares a group is compared or connected, but a group of copies costs one
+    comparison each, not one for each pair. There are eight times as many pivots each round.
+    """
+    found, tried, labels, pivots = None, None, None, FIRST_PIVOTS
+    while True:
+        now = rows.withColumn("component", F.col("rep")) if labels is None else (
+            rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+            .withColumn("component", F.coalesce("component", "rep"))
+        )
+        several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        now = staged(now.join(several.select("token"), "token"), "open-groups")
+        if now.isEmpty():
+            return labels
+        first = Window.partitionBy("token").orderBy("rep")
+        pivot = now.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= pivots)
+        pivot = pivot.select("token", F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
+        pairs = (
+            now.join(pivot, "token")
+            .filter("pivot < rep AND pivot_component <> component")
+            .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+            .distinct()
+        )
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        done = pivot.select("token", F.col("pivot").alias("rep"))
+        rows = staged(now.select("token", "rep").join(done, ["token", "rep"], "left_anti"), "rows")
+        new = staged(verified(pairs).select("a", "b"), "new-links")
+        found = new if found is None else found.union(new)
+        labels = components(found)
+        pivots *= MORE_PIVOTS

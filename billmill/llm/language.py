@@ -156,8 +156,9 @@ def _scores(kernel: Kernel, model: Model, texts: list[str | None]) -> tuple[list
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of docs as `row` (a struct of all its columns), with lang_pred and score.
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """Every row of docs as `row` (a struct of all its columns, or of `keep`), with lang_pred
+    and score.
 
     A text's kernel values with all landmarks, and the scores of the languages over them, are
     two matrix products per block of texts. The best language wins (the first of equal ones);
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     get equal predictions.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"), F.col("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -187,4 +188,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def identify(docs: DataFrame, learn_from: Column) -> DataFrame:
     """doc_id, lang_pred and score of every row, learned from the rows of `learn_from`."""
     model = fit(docs.filter(learn_from).select("doc_id", "text", "lang"))
-    return predict(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")
+    return predict(docs, model, ["doc_id"]).select("row.doc_id", "lang_pred", "score")

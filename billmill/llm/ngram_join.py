@@ -4,11 +4,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billmill.llm.common import staged, text_blocks
-from billmill.llm.components import components
+from billmill.llm.components import components_of_groups
 from billmill.llm.words import hashed_words, mixed, shingles
 
 WORDS = 5
@@ -16,7 +16,6 @@ PERCENT = 75
 LOW = np.uint64(2**64 // 3)  # tokens below it are seen in the first order
 ORDERS = (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)  # seeds of two more orders
 SLOTS = 1 << 20
-FIRST_PIVOTS, MORE_PIVOTS = 1, 8
 
 
 def token_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -147,7 +146,6 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     is never linked, and its component is null. An empty table gives no rows. Other columns
     are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(docs.mapInArrow(_sets(percent, words), "doc_id long, n_shingles long, set_a long, set_b long"), "sets")
     digest = ["n_shingles", "set_a", "set_b"]
@@ -167,37 +165,14 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     reps = firsts.select(F.col("rep").alias("doc_id"))
     rows = staged(kept.join(reps, "doc_id", "left_semi").select(F.explode("tokens").alias("token"), F.col("doc_id").alias("rep")), "rows")
 
-    found, tried, labels, pivots = None, None, None, FIRST_PIVOTS
-    while True:
-        now = rows.withColumn("component", F.col("rep")) if labels is None else (
-            rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("component", F.coalesce("component", "rep"))
-        )
-        open_groups = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        now = staged(now.join(open_groups.select("token"), "token"), "open-groups")
-        if now.isEmpty():
-            break
-        first = Window.partitionBy("token").orderBy("rep")
-        pivot = now.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= pivots)
-        pivot = pivot.select("token", F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
-        pairs = (
-            now.join(pivot, "token")
-            .filter("pivot < rep AND pivot_component <> component")
-            .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-            .distinct()
-        )
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        rows = staged(now.join(pivot, (now["token"] == pivot["token"]) & (now["rep"] == pivot["pivot"]), "left_anti").select("token", "rep"), "rows")
+    def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         texts = _only(ids, docs).dropDuplicates(["doc_id"])
         sided = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b")
         sided = sided.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        new = staged(sided.select("a", "b", "text", "text_a").mapInArrow(_verified(percent, words), "a long, b long"), "new-links")
-        found = new if found is None else found.union(new)
-        labels = components(found)
-        pivots *= MORE_PIVOTS
+        return sided.select("a", "b", "text", "text_a").mapInArrow(_verified(percent, words), "a long, b long")
 
+    labels = components_of_groups(rows, verified)
     merged = firsts if labels is None else (
         firsts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     )

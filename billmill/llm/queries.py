@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billmill.llm import language, ngram_join, sharding, token_counts, warc
+from billmill.llm import attention_lm, decontaminate, language, line_dedup, mixing, ngram_join, sharding, spotsigs, token_counts, warc
 from billmill.llm.common import split_of, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return add
 
 
+@query("op1_line_dedup")
+def _(spark, d):
+    return line_dedup.deduplicated(table(spark, d, "documents"))
+
+
+@query("op2_benchmark_decontamination")
+def _(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 # Base32 of a 40-bit piece of a digest, eight characters of five bits each.
 _BASE32 = "".join(
     f"|| substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {10 * piece + 1}, 10))::BIGINT >> {5 * (7 - i)}) & 31)::INT, 1)"
@@ -50,6 +60,11 @@ def _(spark, d):
     return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
+@query("op4_spotsigs_fingerprints")
+def _(spark, d):
+    return spotsigs.fingerprints(table(spark, d, "documents"))
+
+
 @query("op5_ngram_jaccard_join")
 def _(spark, d):
     return ngram_join.join(table(spark, d, "documents"))
@@ -68,7 +83,22 @@ def _(spark, d):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_soft_membership_mixing")
+def _(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", mixing.domain_of_labels().alias("domain"))
+    rates = mixing.mix(table(spark, d, "documents"), labels, {"good": 0.9, "junk": 0.1, "toxic": 0.0})
+    shares = [F.element_at("posterior", F.lit(name)).alias(f"p_{name}") for name in ("good", "junk", "toxic")]
+    return rates.select("doc_id", "n_tokens", "domain", *shares, "rate")
+
+
 @query("op9_token_counts")
 def _(spark, d):
     pieces = token_counts.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
     return token_counts.count_tokens(table(spark, d, "documents"), pieces)
+
+
+@query("op10_attention_lm")
+def _(spark, d):
+    held_out = split_of(F.col("doc_id"), 7) == 2
+    found = attention_lm.score(table(spark, d, "documents"), ~held_out, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

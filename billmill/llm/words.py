@@ -23,22 +23,24 @@ def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
-def _is_space() -> np.ndarray:
+def _separators(letters_only: bool) -> np.ndarray:
+    """White space, or every ASCII character that is no letter or digit."""
+    if letters_only:
+        return np.array([byte < 128 and not chr(byte).isalnum() for byte in range(256)])
     found = np.zeros(256, bool)
     found[[32, 9, 10, 11, 12, 13]] = True
     return found
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(separators: np.ndarray) -> np.ndarray:
     lower = np.arange(256, dtype=np.uint64)
     lower[65:91] += np.uint64(32)
     values = mixed((lower + np.uint64(1)) * _MULTIPLIER)
-    values[_is_space()] = 0
+    values[separators] = 0
     return values
 
 
-_SPACE = _is_space()
-_VALUES = _byte_values()
+_TABLES = {kind: (_separators(kind), _byte_values(_separators(kind))) for kind in (False, True)}
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -51,46 +53,59 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of a block; words also end at `breaks`."""
-    inside = ~_SPACE[data]
+def _block(data: np.ndarray, breaks: np.ndarray, letters_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of the words of a block; words also end at `breaks`."""
+    separators, values = _TABLES[letters_only]
+    inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     first[breaks] = inside[breaks]
     begin = np.flatnonzero(first)
     if not len(begin):
-        return np.zeros(0, np.uint64), begin
+        return np.zeros(0, np.uint64), begin, begin
+    last = inside.copy()
+    last[:-1] &= first[1:] | ~inside[1:]
     up, down = _powers(len(data))
-    sums = np.add.reduceat(_VALUES[data] * up[: len(data)], begin)
-    return mixed(sums * down[begin]), begin
+    sums = np.add.reduceat(values[data] * up[: len(data)], begin)
+    return mixed(sums * down[begin]), begin, np.flatnonzero(last) + 1
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and where each text's words start (one more entry
-    than texts). A null is an empty text. Long texts are worked off in steps that end at a
+    than texts), as by placed_words."""
+    return placed_words(texts, letters_only)[:2]
+
+
+def placed_words(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, ...]:
+    """Word hashes of all texts in order, where each text's words start (one more entry than
+    texts), first byte and end of each word, and the bytes. With `letters_only`, words end at ASCII punctuation too. A null is an empty
+    text. Long texts are worked off in steps that end at a
     space, so that the working arrays don't grow with a text."""
     texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
     _, offsets, buffer = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    hashes, begins, at = [], [], 0
+    hashes, begins, ends, at = [], [], [], 0
     while at < len(data):
         end, look = min(at + _STEP, len(data)), 4096
         while end < len(data):  # on to the next space
-            spaces = np.flatnonzero(_SPACE[data[end : end + look]])
+            spaces = np.flatnonzero(_TABLES[letters_only][0][data[end : end + look]])
             if len(spaces):
                 end += int(spaces[0])
                 break
             end, look = min(end + look, len(data)), look * 2
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)]
-        found, begin = _block(data[at:end], inner - at)
+        found, begin, stop = _block(data[at:end], inner - at, letters_only)
         hashes.append(found)
         begins.append(begin + at)
+        ends.append(stop + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), np.zeros(len(offsets), np.int64), none, none, data
+    begins = np.concatenate(begins)
+    return np.concatenate(hashes), np.searchsorted(begins, offsets), begins, np.concatenate(ends), data
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
