@@ -23,6 +23,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with new columns that are worked out once per row. The generator keeps the optimizer
+    from moving them into what uses them, such as the loops of array functions."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def split_of(doc_id: Column, parts: int) -> Column:
     """The fold of a document: crc32 of its id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

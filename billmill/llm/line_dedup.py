@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billmill.llm.common import staged
+from billmill.llm.common import settled, staged
 from billmill.llm.components import components_of_groups
 
 EDITS = 2
@@ -69,23 +69,22 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     band = 2 * edits + 1
     full = (1 << band) - 1
     head = _common(F.col("line_a"), F.col("line_b"), F.least(F.length("line_a"), F.length("line_b")), lambda s, n: F.substring(s, F.lit(1), n))
-    cut = pairs.filter(F.abs(F.length("line_a") - F.length("line_b")) <= edits).withColumn("head", head)
-    cut = cut.select("a", "b", *(F.expr(f"substring({c}, head + 1)").alias(c) for c in ("line_a", "line_b")))
-    tail = _common(F.col("line_a"), F.col("line_b"), F.least(F.length("line_a"), F.length("line_b")), lambda s, n: F.right(s, n))
-    cut = cut.withColumn("tail", tail).select(
-        "a", "b", *(F.split(F.expr(f"substring({c}, 1, length({c}) - tail)"), "").alias(c) for c in ("line_a", "line_b")),
-        *(F.expr(f"length({c}) - tail").alias(f"n_{c[-1]}") for c in ("line_a", "line_b")),
-    )
+    cut = settled(pairs.filter(F.abs(F.length("line_a") - F.length("line_b")) <= edits), head=head)
+    cut = settled(cut.select("a", "b", "line_a", "line_b", "head"), **{f"rest_{c}": F.expr(f"substring(line_{c}, head + 1)") for c in "ab"})
+    tail = _common(F.col("rest_a"), F.col("rest_b"), F.least(F.length("rest_a"), F.length("rest_b")), lambda s, n: F.right(s, n))
+    cut = settled(cut.select("a", "b", "rest_a", "rest_b"), tail=tail)
+    cut = settled(cut, **{f"n_{c}": F.expr(f"length(rest_{c}) - tail") for c in "ab"})
+    cut = settled(cut, **{f"chars_{c}": F.split(F.expr(f"substring(rest_{c}, 1, n_{c})"), "") for c in "ab"})
 
     start = [1 << edits]
     for _ in range(edits):
         start.append((start[-1] | start[-1] << 1) & full)
 
     def step(words: Column, at: Column) -> Column:
-        own = F.get(F.col("line_a"), at)
+        own = F.get(F.col("chars_a"), at)
         same = F.lit(0)
         for diagonal in range(band):
-            same = same + F.when(own == F.get(F.col("line_b"), at + (diagonal - edits)), 1 << diagonal).otherwise(0)
+            same = same + F.when(own == F.get(F.col("chars_b"), at + (diagonal - edits)), 1 << diagonal).otherwise(0)
         after = [F.get(words, 0).bitwiseAND(same)]
         for e in range(1, edits + 1):
             before = F.get(words, e - 1)
@@ -94,9 +93,9 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
         return F.array(*after)
 
     places = F.when(F.col("n_a") > 0, F.sequence(F.lit(0), F.col("n_a") - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.get(F.aggregate(places, F.array(*map(F.lit, start)), step), edits)
-    reached = F.call_function("shiftright", last, F.col("n_b") - F.col("n_a") + edits).bitwiseAND(F.lit(1)) == 1
-    return cut.filter(reached).select("a", "b")
+    done = settled(cut.select("a", "b", "n_a", "n_b", "chars_a", "chars_b"), words=F.aggregate(places, F.array(*map(F.lit, start)), step))
+    bit = F.call_function("shiftright", F.get("words", edits), F.col("n_b") - F.col("n_a") + edits).bitwiseAND(F.lit(1))
+    return done.filter(bit == 1).select("a", "b")
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billmill.llm.common import staged
+from billmill.llm.common import settled, staged
 
 SAMPLE_PER_DOMAIN = 2_000
 WORDS_PER_DOMAIN = 40
@@ -78,25 +78,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN)
     return Classifier(domains, words, (prior + np.log1p(-share).sum(axis=0)).tolist(), (np.log(share) - np.log1p(-share)).tolist())
 
 
-def posteriors(text: Column, model: Classifier) -> tuple[Column, Column]:
-    """Number of tokens, and the array of the domains' probabilities to three places."""
-    tokens = tokens_of(text)
-    scores = F.array(*map(F.lit, model.base))
+def classified(docs: DataFrame, model: Classifier, keep: str = "doc_id") -> DataFrame:
+    """Column `keep`, n_tokens and posterior (an array in the order of the model's domains, to
+    three places)."""
+    base = F.array(*map(F.lit, model.base))
+    tokens = settled(docs.select(F.col(keep).alias("kept"), tokens_of(F.col("text")).alias("tokens")), n_tokens=F.size("tokens").cast("long"),
+                     known=F.array_intersect("tokens", F.array(*map(F.lit, model.words)).cast("array<string>")))
+    scores = base
     if model.words:
         table = F.create_map(*(x for w, own in zip(model.words, model.present, strict=True) for x in (F.lit(w), F.array(*map(F.lit, own)))))
-        known = F.array_intersect(tokens, F.array(*map(F.lit, model.words)))
-        scores = F.aggregate(known, scores, lambda sums, word: F.zip_with(sums, F.element_at(table, word), lambda a, b: a + b))
-    shifted = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.size(tokens).cast("long"), shifted
-
-
-def classified(docs: DataFrame, model: Classifier, keep: str = "doc_id") -> DataFrame:
-    """Column `keep`, n_tokens and posterior (an array in the order of the model's domains)."""
-    count, raw = posteriors(F.col("text"), model)
-    total = lambda own: F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
-    return docs.select(keep, count.alias("n_tokens"), raw.alias("raw")).select(
-        keep, "n_tokens", F.transform("raw", lambda p: F.round(p / total(F.col("raw")), 3)).alias("posterior")
-    )
+        scores = F.aggregate("known", base, lambda sums, word: F.zip_with(sums, F.element_at(table, word), lambda a, b: a + b))
+    found = settled(tokens.select("kept", "n_tokens", "known"), scores=scores)
+    found = settled(found, top=F.array_max("scores"))
+    found = settled(found, raw=F.transform("scores", lambda s: F.exp(s - F.col("top"))))
+    found = settled(found, total=F.aggregate("raw", F.lit(0.0), lambda a, b: a + b))
+    found = settled(found, posterior=F.transform("raw", lambda p: F.round(p / F.col("total"), 3)))
+    return found.select(F.col("kept").alias(keep), "n_tokens", "posterior")
 
 
 def _rate(posterior: Column, history: list[list[float]]) -> Column:
@@ -158,9 +155,8 @@ def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     to a whole number. Rows are as for `mix`."""
     model = fit(docs, labels)
     history = fit_rates(classified(docs, model), model.domains, targets, total, drop)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text"))
-    rated = classified(rows, model, "row")
-    return rated.select("row", F.round(_rate(F.col("posterior"), history)).cast("int").alias("copies"))
+    rated = classified(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text")), model, "row")
+    return settled(rated, copies=F.round(_rate(F.col("posterior"), history)).cast("int")).select("row", "copies")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, total: float | None = None,

@@ -13,9 +13,10 @@ from billmill.llm.words import hashed_words, mixed, shingles
 
 WORDS = 5
 PERCENT = 75
-LOW = np.uint64(2**64 // 3)  # tokens below it are seen in the first order
+LOW = np.uint64(2**64 * 3 // 10)  # tokens below it are seen in the first order
 ORDERS = (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)  # seeds of two more orders
 SLOTS = 1 << 20
+TOKENS = "doc_id long, need int, tokens array<long>"
 
 
 def token_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -81,6 +82,27 @@ def _first_order(percent: int, words: int):
     return read
 
 
+def _all_tokens(percent: int, words: int):
+    """doc_id, need and all tokens: a link shares all but `spare` of them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch):
+                sets = list(token_sets(block.column("text"), words))
+                sizes = np.array([len(s) for s in sets])
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        block.column("doc_id").cast(pa.int64()),
+                        pa.array((sizes - spare(sizes, percent)).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)),
+                    ],
+                    names=["doc_id", "need", "tokens"],
+                )
+
+    return read
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets link: first their prefixes must share a token in each further order,
     then the whole sets are counted."""
@@ -134,12 +156,12 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     links, where two texts link when percent of the union of their shingles is common.
 
     Sets that are equal are one from the start. Others must pass filters in several orders of
-    all tokens. In the order of the hashes a set shows the tokens that could matter, and how
-    many of those another text must show too. The shared ones are put in the order of how many
-    texts show them, rarest first, and only as many are kept as must meet a partner's. Sets
-    that share a kept token are compared with the group's first set; what does not link goes on
-    to the next, and sets of one component are not compared again, so a group of copies costs
-    one comparison each. Before the count, the prefixes in two further orders must meet.
+    all tokens. In the order of the hashes a set shows the tokens that could matter, and must
+    find as many of them in other texts as a link needs. What is left is put in the order of how
+    many of the texts left have a token, rarest first, and each set is known by as many of its
+    first tokens as may be missing from a partner, and one more, within the part of its length
+    and the next. Sets that meet are compared by groups (see components_of_groups). Before the
+    count, the prefixes in two further orders must meet.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows
     of one doc_id should have one text; if texts differ, all count for that id. A null doc_id
@@ -152,18 +174,29 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     whole = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = staged(whole.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "firsts")
 
-    shown = docs.mapInArrow(_first_order(percent, words), "doc_id long, need int, tokens array<long>")
-    shown = shown.filter("doc_id IS NOT NULL").select("doc_id", "need", F.explode("tokens").alias("token"))
-    shared = staged(shown.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared")
-    kept = (
-        shown.join(shared, "token")
+    shown = docs.mapInArrow(_first_order(percent, words), TOKENS).filter("doc_id IS NOT NULL")
+    shown = shown.select("doc_id", "need", F.explode("tokens").alias("token"))
+    shared = staged(shown.groupBy("token").count().filter("count > 1").select("token"), "shared")
+    met = shown.join(shared, "token").groupBy("doc_id", "need").count().filter(F.col("count") >= F.col("need"))
+    met = staged(met.select("doc_id").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "met")
+
+    texts = _only(met, docs).join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = texts.mapInArrow(_all_tokens(percent, words), TOKENS).select("doc_id", "need", F.explode("tokens").alias("token"))
+    shared = staged(held.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared-by-some")
+    part = F.floor(F.log(F.col("need").cast("double")) / F.log(F.lit(105 / percent))).cast("int")
+    rows = (
+        held.join(shared, "token")
         .groupBy("doc_id", "need")
-        .agg(F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("tokens"))
+        .agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("tokens"))
         .filter(F.size("tokens") >= F.col("need"))
-        .select("doc_id", F.slice("tokens.token", F.lit(1), F.size("tokens") - F.col("need") + 1).alias("tokens"))
+        .select(
+            F.col("doc_id").alias("rep"),
+            part.alias("part"),
+            F.explode(F.slice("tokens.token", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("token"),
+        )
+        .select("rep", F.explode(F.array(F.xxhash64("token", "part"), F.xxhash64("token", F.col("part") + 1))).alias("token"))
     )
-    reps = firsts.select(F.col("rep").alias("doc_id"))
-    rows = staged(kept.join(reps, "doc_id", "left_semi").select(F.explode("tokens").alias("token"), F.col("doc_id").alias("rep")), "rows")
+    rows = staged(rows, "rows")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
