@@ -1,8 +1,10 @@
 """Test items inside training texts: a BM25 index of the items, queried by every passage."""
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,10 @@ class Index:
     """Postings of the items' words with the impact of each, as a share of the score that the
     item gives itself; blocks of ITEMS_PER_BLOCK items with the highest impact of each word."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], collection: Collection):
+    def __init__(self, items: list[tuple[int, np.ndarray]], collection: Collection, threshold: float = THRESHOLD):
         self.ids = [i for i, _ in items]
         self.words = np.unique(np.concatenate([*(w for _, w in items), np.zeros(0, np.uint64)]))
         self.seen = np.zeros(1 << _SEEN_BITS, bool)
-        self.seen[self.words >> np.uint64(64 - _SEEN_BITS)] = True
         blocks = -(-len(items) // ITEMS_PER_BLOCK)
         self.block_max = np.zeros((len(self.words), blocks), np.float32)
         self.questions, self.answers = [], []
@@ -62,46 +63,63 @@ class Index:
             self.questions.append(np.unique(shingles(words, np.array([0, len(words) - last]), WORDS)[0]))
             self.answers.append(np.unique(words[len(words) - last :]))
         self.block_max *= np.float32(1.00001)  # rounding must not lower a bound
-        self.items = [np.array([i for i, _ in own]) for own in postings]
+        self.items = [[i for i, _ in own] for own in postings]
         self.impacts = [[value for _, value in own] for own in postings]
-        self.highest = self.block_max.max(axis=1, initial=0)
+        # The words in most items, as many as can't give half the threshold to any block, are
+        # left out of the first look at a text.
+        spread = np.argsort([-len(own) for own in postings], kind="stable")
+        sums = np.cumsum(self.block_max[spread], axis=0).max(axis=1, initial=0)
+        common = spread[: int(np.searchsorted(sums, threshold / 2, side="right"))]
+        self.slack = self.block_max[common].sum(axis=0)
+        self.telling = np.setdiff1d(np.arange(len(self.words)), common)
+        self.seen[self.words[self.telling] >> np.uint64(64 - _SEEN_BITS)] = True
+
+    def terms(self, words: np.ndarray) -> np.ndarray:
+        """Places of the words that the index has, each once."""
+        words = np.unique(words)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return at[self.words[at] == words]
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Items (their numbers) whose score for a passage of these words reaches the
-        threshold, by block-max WAND: lists are kept in order of their next item; the first
-        list at which the highest impacts add up to the threshold gives the pivot item; it is
-        scored only if the maxima of its blocks add up too, else all move past the block."""
-        lists = [[self.items[t][0], 0, t] for t in terms.tolist()]
-        end, found = len(self.ids), []
+        threshold. Blocks whose maxima don't add up to it are passed over as wholes."""
+        bound = self.block_max[terms].sum(axis=0)
+        return [hit for block in np.flatnonzero(bound >= threshold) for hit in self._wand(terms, int(block), threshold)]
+
+    def _wand(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
+        """Block-max WAND in a block: lists are kept in order of their next item; the first list
+        at which the block's maxima add up to the threshold gives the pivot item; if all lists
+        before it are there already the item is scored, else they move up to it."""
+        end = min((block + 1) * ITEMS_PER_BLOCK, len(self.ids))
+        lists, found = [], []
+        for term in terms[self.block_max[terms, block] > 0].tolist():
+            own = self.items[term]
+            at = bisect_left(own, block * ITEMS_PER_BLOCK)
+            lists.append([own[at], at, own, self.impacts[term], float(self.block_max[term, block])])
 
         def forward(entry: list, item: int) -> None:
-            entry[1] += int(np.searchsorted(self.items[entry[2]][entry[1] :], item))
-            own = self.items[entry[2]]
-            entry[0] = int(own[entry[1]]) if entry[1] < len(own) else end
+            own, at = entry[2], entry[1]
+            while at < len(own) and own[at] < item:
+                at += 1
+            entry[:2] = own[at] if at < len(own) else end, at
 
         while True:
-            lists = sorted(e for e in lists if e[0] < end)
+            lists = sorted((e for e in lists if e[0] < end), key=itemgetter(0))
             total, pivot = 0.0, None
             for at, entry in enumerate(lists):
-                total += self.highest[entry[2]]
+                total += entry[4]
                 if total >= threshold:
                     pivot = at
                     break
             if pivot is None:
                 return found
             item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            block = item // ITEMS_PER_BLOCK
-            if sum(self.block_max[e[2], block] for e in lists[: pivot + 1]) < threshold:
-                beyond = min((block + 1) * ITEMS_PER_BLOCK, lists[pivot + 1][0] if pivot + 1 < len(lists) else end)
-                for entry in lists[: pivot + 1]:
-                    forward(entry, beyond)
-            elif lists[0][0] == item:
-                score = sum(self.impacts[e[2]][e[1]] for e in lists[: pivot + 1])
+            if lists[0][0] == item:
+                here = [e for e in lists if e[0] == item]
+                score = sum(e[3][e[1]] for e in here)
                 if score >= threshold:
                     found.append((item, score))
-                for entry in lists[: pivot + 1]:
+                for entry in here:
                     forward(entry, item + 1)
             else:
                 for entry in lists[:pivot]:
@@ -119,30 +137,31 @@ def _passages(index: Index, hashes: np.ndarray, starts: np.ndarray, stride: int,
     """Text, first and last word and index words of the passages whose block maxima reach the
     threshold in some block. Passages are two strides long and start at every stride, so that
     whatever is no longer than a stride lies whole in one of them."""
+    telling = index.words[index.telling]
     at = np.flatnonzero(index.seen[hashes >> np.uint64(64 - _SEEN_BITS)])
-    place = np.minimum(np.searchsorted(index.words, hashes[at]), len(index.words) - 1)
-    real = index.words[place] == hashes[at]
+    if not len(at) or not len(telling):
+        return
+    place = np.minimum(np.searchsorted(telling, hashes[at]), len(telling) - 1)
+    real = telling[place] == hashes[at]
     at, term = at[real], place[real].astype(np.int64)
     text = np.searchsorted(starts, at, side="right") - 1
     per_text = -(-np.diff(starts) // stride)
     first = np.concatenate([[0], np.cumsum(per_text)])
     chunk = first[text] + (at - starts[text]) // stride
-    pairs = np.unique(chunk * len(index.words) + term)
-    chunk, term = np.divmod(pairs, len(index.words))
-    if not len(chunk):
+    # A passage is a chunk and the next one of its text; a word counts once in it.
+    also = (at - starts[text]) >= stride
+    pairs = np.unique(np.concatenate([chunk, chunk[also] - 1]) * len(telling) + np.concatenate([term, term[also]]))
+    if not len(pairs):
         return
-    ends = np.searchsorted(chunk, np.arange(first[-1] + 1))
-    bound = np.zeros((first[-1] + 1, index.block_max.shape[1]), np.float32)
-    filled = np.flatnonzero(np.diff(ends))
-    bound[filled] = np.add.reduceat(index.block_max[term], ends[filled])
+    number, term = np.divmod(pairs, len(telling))
+    begin = np.flatnonzero(np.diff(number, prepend=-1))
+    bound = np.add.reduceat(index.block_max[index.telling[term]], begin) + index.slack
     text_of = np.repeat(np.arange(len(per_text)), per_text)
-    follows = np.append(text_of[1:] == text_of[:-1], False)  # another chunk of the text comes
-    bound[:-1][follows] += bound[1:][follows]
-    for number in np.flatnonzero(bound[:-1].max(axis=1) >= threshold):
-        own = text_of[number]
-        a = starts[own] + (number - first[own]) * stride
-        last = number + 2 if follows[number] else number + 1
-        yield own, a, min(a + 2 * stride, starts[own + 1]), np.unique(term[ends[number] : ends[last]])
+    for passage in number[begin[np.flatnonzero(bound.max(axis=1) >= threshold)]]:
+        own = text_of[passage]
+        a = starts[own] + (passage - first[own]) * stride
+        b = min(a + 2 * stride, starts[own + 1])
+        yield own, a, b, index.terms(hashes[a:b])
 
 
 def _leaks(texts: pa.Array, indexes: list[Index], stride: int, threshold: float, overlap: float) -> list[dict[int, tuple]]:
@@ -205,7 +224,7 @@ def matched(
         ask = own.select(F.explode("words").alias("word")).distinct().join(per_word, "word")
         whole.items_of = dict(Counter({r.word & (2**64 - 1): r["items"] for r in ask.toLocalIterator()}))
         listed = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own.orderBy("item_id", "words").toLocalIterator()]
-        indexes = [Index(listed[i : i + ITEMS_PER_INDEX], whole) for i in range(0, len(listed), ITEMS_PER_INDEX)]
+        indexes = [Index(listed[i : i + ITEMS_PER_INDEX], whole, threshold) for i in range(0, len(listed), ITEMS_PER_INDEX)]
         rows = _pass(rows, spark.sparkContext.broadcast(indexes), stride, threshold, overlap)
     return rows.select("row", F.array_sort("leaks").alias("leaks"))
 
