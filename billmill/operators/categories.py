@@ -52,8 +52,11 @@ def fold_custom(categories: DataFrame) -> DataFrame:
 
 
 def change(categories: DataFrame, used: DataFrame, asked: DataFrame) -> DataFrame:
-    """Decide renames and deletions (asked: id, action, name). `refused` says why not;
-    a null one is carried out. `used` is the result of uses()."""
+    """Decide renames and deletions (asked: id, action, name, and `at` for their order; by id
+    without it). `refused` says why not; a null one is carried out. Of renames to one name in
+    the same batch the first is accepted, as it takes the name from those of other categories.
+    `used` is the result of uses()."""
+    turn = F.struct("at", "id") if "at" in asked.columns else F.struct("id")
     cleaned = asked.withColumn("new_name", text.category_name(F.col("name")))
     taken = categories.select(F.col("id").alias("_owner"), F.lower("name").alias("_folded"))
     known = used.select(
@@ -85,7 +88,14 @@ def change(categories: DataFrame, used: DataFrame, asked: DataFrame) -> DataFram
             ),
         )
     )
-    return joined.select("id", "action", "new_name", refused.alias("refused"))
+    decided = joined.withColumn("refused", refused).withColumn("_turn", turn)
+    free = decided.filter(rename & F.col("refused").isNull())
+    first = free.groupBy("_folded").agg(F.min_by("id", "_turn").alias("_first"))
+    late = rename & F.col("refused").isNull() & (F.col("_first") != F.col("id"))
+    taken_now = F.concat(F.lit('A category called "'), "new_name", F.lit('" already exists.'))
+    return decided.join(first, "_folded", "left").select(
+        "id", "action", "new_name", F.when(late, taken_now).otherwise(F.col("refused")).alias("refused")
+    )
 
 
 def carry_out(categories: DataFrame, decisions: DataFrame) -> DataFrame:

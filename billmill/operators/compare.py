@@ -179,14 +179,24 @@ def used_per_day(runs: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 
 
 def admit_batches(requests: DataFrame, used: DataFrame, cap: int) -> DataFrame:
-    """Each request (day, batch_id, file_id) batch against what is left of its day's cap: all
-    of it or nothing."""
-    sizes = requests.groupBy("day", "batch_id").agg(F.count("*").alias("asked"))
-    joined = sizes.join(used, "day", "left")
-    left = F.greatest(F.lit(cap) - F.coalesce("used", F.lit(0)), F.lit(0))
-    return joined.withColumn("remaining", left).withColumn(
-        "admitted", F.col("asked") <= F.col("remaining")
-    ).drop("used")
+    """Each request (day, batch_id, file_id, at) batch against what is left of its day's cap, all
+    of it or nothing, in the order in which batches were first asked for (ties by id). An
+    admitted batch uses up what it asked for before the next one's turn."""
+    sizes = requests.groupBy("day", "batch_id").agg(F.count("*").alias("asked"), F.min("at").alias("at"))
+    days = sizes.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("at", "batch_id", "asked"))).alias("batches"))
+    left = F.greatest(F.lit(cap) - F.coalesce("used", F.lit(0)), F.lit(0)).cast("bigint")
+    answer = "array<struct<batch_id:bigint,asked:bigint,remaining:bigint,admitted:boolean>>"
+
+    def decide(state: Column, batch: Column) -> Column:
+        admitted = batch["asked"] <= state["left"]
+        said = F.struct(batch["batch_id"].cast("bigint").alias("batch_id"), batch["asked"].alias("asked"),
+                        state["left"].alias("remaining"), admitted.alias("admitted"))
+        after = F.when(admitted, state["left"] - batch["asked"]).otherwise(state["left"])
+        return F.struct(after.alias("left"), F.array_append(state["said"], said).alias("said"))
+
+    start = F.struct(left.alias("left"), F.array().cast(answer).alias("said"))
+    said = F.aggregate("batches", start, decide, lambda state: state["said"])
+    return days.join(used, "day", "left").select("day", F.explode(said).alias("x")).select("day", "x.*")
 
 
 def least_confidence(receipts: DataFrame) -> DataFrame:

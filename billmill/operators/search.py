@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billmill.model import COUNTED, PAGE_SIZE, TOP_LIMIT, WAITING
-from billmill.operators.skew import attach_small
 
 ROW_COLUMNS = (
     "receipt_date", "vendor", "receipt_number", "category", "subtotal", "tax", "total",
@@ -34,7 +33,7 @@ def view(
     joined = receipts.drop("category_id").join(f, "file_id").join(v, "vendor_id")
     automatic = F.col("_auto") if auto else F.col("category_auto_id")
     with_category = joined.withColumn("category_id", F.coalesce("category_override_id", automatic))
-    return attach_small(with_category, c, ["category_id"], "left").select(
+    return with_category.join(c, "category_id", "left").select(
         "id", "ref_no", "file_ref_no", "status", "receipt_date", "vendor", "receipt_number",
         "category_id", "category", "subtotal", "tax", "total",
     )

@@ -7,26 +7,9 @@ from pyspark.sql import functions as F
 
 from billmill.session import cut
 
-SMALL_ROWS = 100_000
 HEAVY_ROWS = 1_000_000
 
 
-def attach_small(
-    df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_ROWS
-) -> DataFrame:
-    """Join a side that is meant to be small. It is broadcast only after its row count was
-    checked; a bigger one is joined by a shuffle, where AQE splits skewed partitions."""
-    fits = small.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(small) if fits else small, on, how)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A table scan over all cores before per-row work that costs more than reading. Only a
-    scan with fewer partitions than cores is dealt out; a large table is left as it lies."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def with_lookup(df: DataFrame, side: DataFrame, key: str, side_key: str, how: str = "left"):
     """Attach a one-row-per-key side; no hint, so its measured size decides the strategy."""
     return df.join(side.withColumnRenamed(side_key, key), key, how)

@@ -161,13 +161,18 @@ def _(spark, d):
     return compare.used_per_day(b.runs(spark, d))
 
 
-@query("agg10_admitted_batches", f"""SELECT r.day, r.batch_id, r.asked, greatest(5 - coalesce(u.used, 0), 0)
-      AS remaining, r.asked <= greatest(5 - coalesce(u.used, 0), 0) AS admitted
-    FROM (SELECT CAST(uploaded_at AS DATE) AS day, id % 4 AS batch_id, count(*) AS asked FROM files GROUP BY 1, 2) r
-    LEFT JOIN {USED} u ON u.day = r.day""")
+@query("agg10_admitted_batches", f"""WITH RECURSIVE asked AS (SELECT CAST(uploaded_at AS DATE) AS day, id % 4 AS batch_id,
+      count(*) AS asked, min(uploaded_at) AS asked_at FROM files GROUP BY 1, 2),
+    turns AS (SELECT a.*, row_number() OVER (PARTITION BY a.day ORDER BY asked_at, batch_id) AS turn,
+      CAST(greatest(5 - coalesce(u.used, 0), 0) AS BIGINT) AS start FROM asked a LEFT JOIN {USED} u ON u.day = a.day),
+    said AS (SELECT day, batch_id, asked, turn, start AS remaining FROM turns WHERE turn = 1
+      UNION ALL SELECT t.day, t.batch_id, t.asked, t.turn, CASE WHEN s.asked <= s.remaining THEN s.remaining - s.asked
+        ELSE s.remaining END FROM said s JOIN turns t ON t.day = s.day AND t.turn = s.turn + 1)
+    SELECT day, batch_id, asked, remaining, asked <= remaining AS admitted FROM said""")
 def _(spark, d):
     asked = b.files(spark, d).select(
-        F.to_date("uploaded_at").alias("day"), (F.col("id") % 4).alias("batch_id"), F.col("id").alias("file_id"))
+        F.to_date("uploaded_at").alias("day"), (F.col("id") % 4).alias("batch_id"), F.col("id").alias("file_id"),
+        F.col("uploaded_at").alias("at"))
     return compare.admit_batches(asked, compare.used_per_day(b.runs(spark, d)), 5)
 
 
@@ -331,7 +336,7 @@ def _(spark, d):
     1 AS items, r.total AS amount FROM receipts r JOIN vendors v ON v.id = r.vendor_id""")
 def _(spark, d):
     v = b.printed_vendors(spark, d).select(F.col("id").alias("vendor_id"), "printed")
-    rows = b.receipts(spark, d, dealt=True).join(v, "vendor_id")
+    rows = b.receipts(spark, d).join(v, "vendor_id")
     item = lambda name, amount: F.struct(name.alias("description"), F.lit("2 kg").alias("quantity"),
                                          F.lit(None).cast("string").alias("unit_price"), amount.alias("amount"))
     total = F.concat(F.lit("Rs. "), F.format_number("total", 2))
@@ -419,7 +424,7 @@ def bills(spark, d):
     v = b.printed_vendors(spark, d).select(F.col("id").alias("vendor_id"), text.clean_vendor(F.col("printed")).alias("vendor"))
     n = F.col("vendor_id")
     word = F.element_at(F.array(F.lit("Before GST"), F.lit("Levy"), F.lit("To settle")), (n % 3 + 1).cast("int"))
-    rows = b.receipts(spark, d, dealt=True).join(v, "vendor_id")
+    rows = b.receipts(spark, d).join(v, "vendor_id")
     line = F.concat(F.lit("Hello\n"), word, F.lit(" "), b.label_number(n).cast("string"), F.lit(": Rs. "), F.col("total").cast("string"),
                     F.lit("\nTotally 9.00"))
     return rows.select(

@@ -182,6 +182,8 @@ def with_model(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body

@@ -296,10 +296,10 @@ def _(spark, d):
 
 
 @query("job19_category_changes", f"""
-    WITH asked AS (SELECT p_partkey AS at, p_partkey % 8 AS id, CASE WHEN p_partkey % 2 = 0 THEN 'rename'
+    WITH asked AS (SELECT p_partkey AS turn, p_partkey % 8 AS id, CASE WHEN p_partkey % 2 = 0 THEN 'rename'
         ELSE 'delete' END AS action, CASE WHEN p_partkey % 6 = 0 THEN 'furniture' ELSE p_brand END AS name
-      FROM part)
-    SELECT a.id, a.action, a.name AS new_name, count(*) AS times, CASE
+      FROM part),
+    alone AS (SELECT a.*, CASE
       WHEN u.id IS NULL THEN 'Category not found.'
       WHEN action = 'rename' AND u.builtin THEN 'Built-in categories cannot be renamed.'
       WHEN action = 'rename' AND t.id <> a.id THEN 'A category called "' || a.name || '" already exists.'
@@ -308,11 +308,16 @@ def _(spark, d):
         THEN 'This category is used by ' || receipts_using || ' receipt(s) and ' || vendors_using
           || ' vendor(s). Move them to another category first.' END AS refused
     FROM asked a LEFT JOIN {USES} u ON u.id = a.id
-    LEFT JOIN categories t ON lower(t.name) = lower(a.name) GROUP BY ALL""")
+    LEFT JOIN categories t ON lower(t.name) = lower(a.name)),
+    firsts AS (SELECT lower(name) AS folded, arg_min(id, turn) AS first FROM alone
+      WHERE action = 'rename' AND refused IS NULL GROUP BY 1)
+    SELECT id, action, name AS new_name, CASE WHEN action = 'rename' AND refused IS NULL AND first <> id
+      THEN 'A category called "' || name || '" already exists.' ELSE refused END AS refused, count(*) AS times
+    FROM alone LEFT JOIN firsts ON folded = lower(name) GROUP BY ALL""")
 def _(spark, d):
     n = F.col("p_partkey")
     asked = b.table(spark, d, "part").select(
-        (n % 8).alias("id"), F.when(n % 2 == 0, "rename").otherwise("delete").alias("action"),
+        n.alias("at"), (n % 8).alias("id"), F.when(n % 2 == 0, "rename").otherwise("delete").alias("action"),
         F.when(n % 6 == 0, F.lit("furniture")).otherwise(F.col("p_brand")).alias("name"))
     decided = cats.change(b.categories(spark, d), used(spark, d), asked)
     return decided.groupBy("id", "action", "new_name", "refused").agg(F.count("*").alias("times"))
@@ -320,8 +325,6 @@ def _(spark, d):
 
 @query("str17_category_names", r"""SELECT doc_id, CASE WHEN length(name) <= 50
       AND NOT regexp_matches(name, '\p{C}') AND name <> '' THEN name END AS name
-    FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, CAST(20 + doc_id % 60 AS INT)),
-      '[\s\x0b]+', ' ', 'g')) AS name FROM documents)""")
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0b]+', ' ', 'g')) AS name FROM documents)""")
 def _(spark, d):
-    head = F.col("text").substr(F.lit(1), (F.lit(20) + F.col("doc_id") % 60).cast("int"))
-    return b.table(spark, d, "documents").select("doc_id", text.category_name(head).alias("name"))
+    return b.table(spark, d, "documents").select("doc_id", text.category_name(F.col("text")).alias("name"))

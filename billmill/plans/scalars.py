@@ -74,12 +74,13 @@ def _nfc_series(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).strip())
 
 
-@query("str11_display_names", r"""SELECT doc_id, CASE WHEN problem IS NULL THEN name END AS name, problem FROM (SELECT doc_id, name,
+@query("str11_display_names", r"""SELECT doc_id, CASE WHEN problem IS NULL THEN CASE WHEN length(name) > 255
+      THEN substr(name, 1, 251) || '.pdf' ELSE name END END AS name, problem FROM (SELECT doc_id, name,
       CASE WHEN regexp_matches(name, '[/\\\\]') THEN 'File names cannot contain / or \.'
         WHEN regexp_matches(name, '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]') THEN 'File names cannot contain control characters.' END AS problem
-    FROM (SELECT doc_id, regexp_replace(nfc_normalize(substr(text, 1, 40) || '.pdf'), '^[\s\x0b\x{a0}]+', '') AS name FROM documents))""")
+    FROM (SELECT doc_id, regexp_replace(nfc_normalize(text || '.pdf'), '^[\s\x0b\x{a0}]+', '') AS name FROM documents))""")
 def _(spark, d):
-    raw = F.concat(F.substring("text", 1, 40), F.lit(".pdf"))
+    raw = F.concat("text", F.lit(".pdf"))
     nfc = F.pandas_udf(_nfc_series, "string")
     rows = docs(spark, d).select("doc_id", nfc(raw).alias("name"))
     problem = text.name_problem(F.col("name"))

@@ -30,10 +30,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
-    spark.checkpoint.dir. Where that is unset (tests) a new local one is set."""
+    spark.checkpoint.dir. Where that is unset, a new local one is set in local mode (tests);
+    a cluster must name one, as its machines do not share their own folders."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billmill.functions import money, text
-from billmill.operators.skew import attach_small, numbered, spread, with_lookup
+from billmill.operators.skew import numbered, with_lookup
 
 TODAY = date(2001, 8, 1)
 COPY_OFFSET = 1_000_000_000_000
@@ -59,7 +59,7 @@ def printed_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("name"),
     )
     known = categories(spark, sf_dir).select(F.col("id").alias("default_category_id"), "name")
-    return attach_small(people, known, ["name"], "left").drop("name")
+    return people.join(known, "name", "left").drop("name")
 
 
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +125,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def receipts(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """One receipt per order; two receipts per file. `dealt` spreads the scan's rows over the
-    cores, for queries whose work per row is heavy."""
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One receipt per order; two receipts per file."""
     key = F.col("o_orderkey")
     cents = (F.col("o_totalprice").cast("decimal(14,2)") * 100).cast("bigint")
     tax = div(cents * 18, 118)
     orders = table(spark, sf_dir, "orders")
-    orders = spread(orders) if dealt else orders
     file_id = div(key, 2)
     seq = key % 2 + 1
     return orders.select(

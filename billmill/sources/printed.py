@@ -12,7 +12,7 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = b.printed_vendors(spark, sf_dir).select(F.col("id").alias("vendor_id"), "printed")
     half = money.from_cents(b.div((F.col("tax") * 100).cast("bigint"), 2))
     return (
-        b.receipts(spark, sf_dir, dealt=True)
+        b.receipts(spark, sf_dir)
         .join(v, "vendor_id", "left")
         .withColumn("cgst", half)
         .withColumn("sgst", (F.col("tax") - half).cast("decimal(12,2)"))
@@ -47,7 +47,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per order whose items are printed as a table without ruled lines."""
-    items = b.line_items(spark, sf_dir).filter("position <= 60")
+    items = b.line_items(spark, sf_dir)
     key = F.col("receipt_id").cast("string").alias("file_id")
     one = F.lit(1).alias("page")
     rows = items.select(
@@ -56,11 +56,11 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     plain(F.col("amount")), F.lit("0.00"), plain(F.col("amount"))).alias("text"),
     )
     sums = items.groupBy("receipt_id").agg(
-        F.sum("amount").cast("decimal(12,2)").alias("amount"), F.count("*").cast("string").alias("n")
+        F.sum("amount").cast("decimal(12,2)").alias("amount"), F.count("*").alias("n")
     )
     total = sums.select(
-        key, one, F.lit(100).alias("line_no"),
-        F.concat_ws(" ", F.lit("Total"), "n", plain(F.col("amount")), F.lit("1.50"),
+        key, one, (F.col("n") + 11).cast("int").alias("line_no"),
+        F.concat_ws(" ", F.lit("Total"), F.col("n").cast("string"), plain(F.col("amount")), F.lit("1.50"),
                     plain(F.col("amount"))).alias("text"),
     )
     head = sums.select(

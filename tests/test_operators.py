@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billmill.functions import sqlnames
-from billmill.operators import checks, learning, search, skew
+from billmill.operators import categories, checks, compare, learning, search, skew
 from billmill.operators import files as file_ops
 from billmill.plans.catalog import QUERIES
 from billmill.sources import bindings, landing, sinks
@@ -41,12 +41,21 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     assert sorted(r.id for r in top.collect()) == [994, 995, 996, 997, 998, 999]
 
 
-def test_small_sides_are_broadcast_only_when_their_size_was_checked(spark):
-    big = spark.range(100).withColumn("k", F.col("id") % 10)
-    side = spark.range(10).withColumnRenamed("id", "k")
-    assert "ResolvedHint" in skew.attach_small(big, side, ["k"])._jdf.queryExecution().analyzed().toString()
-    over = skew.attach_small(big, side, ["k"], limit=5)
-    assert "ResolvedHint" not in over._jdf.queryExecution().analyzed().toString()
+def test_admitted_batches_use_up_the_cap(spark):
+    asked = [(1, n, f, at) for n, size, at in ((7, 4, 2), (3, 4, 1), (5, 1, 3)) for f in range(size)]
+    requests = spark.createDataFrame(asked, "day int, batch_id bigint, file_id int, at int")
+    used = spark.createDataFrame([(1, 1)], "day int, used bigint")
+    got = {r.batch_id: (r.asked, r.remaining, r.admitted) for r in compare.admit_batches(requests, used, 6).collect()}
+    assert got == {3: (4, 5, True), 7: (4, 1, False), 5: (1, 1, True)}
+
+
+def test_two_renames_to_one_name(spark):
+    schema = "id bigint, builtin boolean, receipts_using bigint, vendors_using bigint, name string"
+    known = spark.createDataFrame([(i, False, 0, 0, f"c{i}") for i in (1, 2, 3)], schema)
+    asked = spark.createDataFrame([(1, "rename", "Same", 2), (2, "rename", "same", 1), (3, "rename", "New", 3)],
+                                  "id bigint, action string, name string, at int")
+    got = {r.id: r.refused for r in categories.change(known, known, asked).collect()}
+    assert got == {1: 'A category called "Same" already exists.', 2: None, 3: None}
 
 
 def test_duplicates_with_one_key_in_a_third_of_the_rows(spark):
