@@ -13,6 +13,7 @@ WORDS_PER_DOMAIN = 40
 LEAST_DOCUMENTS = 5
 STEPS = 60
 CLOSE = 1e-4  # of all target tokens
+STILL = 1e-5  # of all tokens: no more is moved by a step
 
 
 @dataclass
@@ -140,7 +141,9 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] |
         history.append((step * (have - want) / scale).tolist())
         rate = _rate(F.col("posterior"), history)
         row = cells.select(*(F.col("tokens") * at(k) * rate for k in range(n))).toDF(*map(str, range(n)))
-        have = np.array(row.agg(*(F.sum(str(k)) for k in range(n))).first(), float)
+        before, have = have, np.array(row.agg(*(F.sum(str(k)) for k in range(n))).first(), float)
+        if np.abs(have - before).sum() <= STILL * max(before.sum(), 1.0):
+            break
     return history
 
 
