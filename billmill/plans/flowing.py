@@ -79,7 +79,7 @@ def _(spark, d):
         < (SELECT date_trunc('milliseconds', max(ts)) FROM events)""", model=False)
 def _(spark, d):
     out, state = places(spark, "stuck")
-    jobs.run(jobs.stuck_files(events(spark, d)), jobs.to_batches(out), state, "append")
+    jobs.run(jobs.stuck_files(events(spark, d), "0 seconds"), jobs.to_batches(out), state, "append")
     return jobs.batches(spark, out, jobs.STUCK).drop("batch")
 
 
@@ -92,7 +92,7 @@ def _(spark, d):
       < (SELECT date_trunc('milliseconds', max(ts)) FROM events)""", model=False)
 def _(spark, d):
     out, state = places(spark, "retries")
-    jobs.run(jobs.retries(events(spark, d)), jobs.to_batches(out), state, "append")
+    jobs.run(jobs.retries(events(spark, d), "0 seconds"), jobs.to_batches(out), state, "append")
     return jobs.batches(spark, out, jobs.DUE).drop("batch")
 
 

@@ -139,8 +139,9 @@ def _last(chunks: Iterator[pd.DataFrame]) -> tuple[str, int] | None:
     return best
 
 
-def stuck_files(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Files still processing when no event came for too long, by event time."""
+def stuck_files(events: DataFrame, delay: str) -> DataFrame:
+    """Files still processing when no event came for too long, by event time. Events may come
+    late by `delay`; later ones are not seen."""
     wait = STUCK_AFTER_SECONDS * 1000
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -166,31 +167,45 @@ def stuck_files(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     )
 
 
-def retries(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+TRIES = "status string, at_ms bigint, ok_ms bigint, failed_ms array<bigint>"
+
+
+def tried(chunks: Iterator[pd.DataFrame], status: str, at: int, ok: int, failed: list[int]) -> tuple[str, int, int, list[int]]:
+    """A file's latest status and its time, its last success and its latest failures after new
+    events, whose order doesn't matter. No more failures are kept than there are tries."""
+    for chunk in chunks:
+        times = chunk["ts"].astype("datetime64[ms]").astype("int64")
+        latest = times[::-1].idxmax()  # of equal times, the last row
+        if times[latest] >= at:
+            status, at = chunk["status"][latest], int(times[latest])
+        ok = max([ok, *times[chunk["status"] == "parsed"].nlargest(1).tolist()])
+        recent = times[chunk["status"] == "failed"].nlargest(MAX_ATTEMPTS).tolist()
+        failed = sorted([*failed, *recent])[-MAX_ATTEMPTS:]
+    return status, at, ok, failed
+
+
+def retries(events: DataFrame, delay: str) -> DataFrame:
     """Failed files due another try: after attempts x the back-off, at most three tries. A
-    success starts the count again."""
+    success starts the count again. Events may come late by `delay`."""
     pause = RETRY_BACKOFF_SECONDS * 1000
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            status, at, attempts = state.get
-            state.update(("queued", at, attempts))
+            status, at, ok, failed = state.get
+            attempts = sum(t > ok for t in failed)
+            state.update(("queued", at, ok, failed))
             due = pd.Timestamp(at + attempts * pause, unit="ms")
             yield pd.DataFrame({"file_id": [key[0]], "attempts": [attempts], "due": [due]})
             return
-        status, at, attempts = state.get if state.exists else ("", 0, 0)
-        for chunk in chunks:
-            for row in chunk.sort_values("ts").itertuples():
-                status, at = row.status, int(row.ts.timestamp() * 1000)
-                attempts = attempts + 1 if status == "failed" else 0 if status == "parsed" else attempts
-        state.update((status, at, attempts))
+        known = state.get if state.exists else ("", 0, -1, [])
+        status, at, ok, failed = tried(chunks, *known)
+        attempts = sum(t > ok for t in failed)
+        state.update((status, at, ok, failed))
         if status == "failed" and attempts < MAX_ATTEMPTS:
-            state.setTimeoutTimestamp(
-                max(at + attempts * pause, state.getCurrentWatermarkMs() + 1)
-            )
+            state.setTimeoutTimestamp(max(at + attempts * pause, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("ts", delay)
         .groupBy("file_id")
-        .applyInPandasWithState(step, DUE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step, DUE, TRIES, "append", GroupStateTimeout.EventTimeTimeout)
     )

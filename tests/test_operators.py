@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 from decimal import Decimal as D
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,16 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
 
 def test_every_query_has_a_name_and_most_have_sql():
     assert sum(1 for q in QUERIES.values() if q.sql) >= 0.9 * len(QUERIES)
+
+
+def test_tries_do_not_depend_on_the_order_or_chunks_of_events():
+    start = pd.Timestamp("2026-01-01 10:00")
+    events = [(0, "failed"), (4, "failed"), (5, "failed"), (1, "parsed")]
+    rows = [(start + pd.Timedelta(minutes=m), s) for m, s in events] + [(start - pd.Timedelta(minutes=m), "failed") for m in range(1, 12_000)]
+    whole = pd.DataFrame(rows, columns=["ts", "status"])
+    ms = lambda m: int((start + pd.Timedelta(minutes=m)).timestamp() * 1000)
+    for order in (whole, whole.iloc[::-1]):
+        for size in (2, 10_000, 20_000):
+            chunks = (order.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(order), size))
+            status, at, ok, failed = jobs.tried(chunks, "", 0, -1, [])
+            assert (status, at, ok, sum(t > ok for t in failed)) == ("failed", ms(5), ms(1), 2)
