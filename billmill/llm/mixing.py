@@ -11,6 +11,7 @@ from billmill.llm.common import settled, staged
 SAMPLE_PER_DOMAIN = 2_000
 WORDS_PER_DOMAIN = 40
 LEAST_DOCUMENTS = 5
+LEAST_Z = 5.0  # chance alone gives this to no word of a million
 STEPS = 60
 CLOSE = 1e-4  # of all target tokens
 STILL = 1e-5  # of all tokens: no more is moved by a step
@@ -71,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN)
         ))).alias("own"),
     )
     rank = Window.partitionBy("own.domain").orderBy(F.col("own.z").desc(), "word")
-    best = long.withColumn("rank", F.row_number().over(rank)).filter((F.col("rank") <= WORDS_PER_DOMAIN) & (F.col("own.z") > 3))
+    best = long.withColumn("rank", F.row_number().over(rank)).filter((F.col("rank") <= WORDS_PER_DOMAIN) & (F.col("own.z") > LEAST_Z))
     rows = {r.word: [r[f"n{k}"] for k in range(len(domains))] for r in best.collect()}
     words = sorted(rows)
     share = np.array([[(rows[w][k] + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)] for w in words]).reshape(-1, len(domains))
