@@ -31,8 +31,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def components_of_groups(rows: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Components over all links between members of one group, where `rows` (token, rep) says
-    which members a group has, and `verified` keeps the pairs (a, b) that link. None if no two
+    """Components over all links between members of one group, where `rows` (token, rep, own,
+    size) says which members a group has, and `verified` keeps the pairs (a, b) that link. Two
+    members are compared if one that is no larger than the other owns the group. None if no two
     members share a group.
 
     Each round compares every group's first members (its pivots) with all others that are not
@@ -46,23 +47,26 @@ def components_of_groups(rows: DataFrame, verified: Callable[[DataFrame], DataFr
             rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep"))
         )
-        several = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        several = now.groupBy("token").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("owned")
+        ).filter("low < high AND owned")
         now = staged(now.join(several.select("token"), "token"), "open-groups")
         if now.isEmpty():
             return labels
         first = Window.partitionBy("token").orderBy("rep")
         pivot = now.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= pivots)
-        pivot = pivot.select("token", F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
+        pivot = pivot.select("token", *(F.col(c).alias(n) for c, n in (("rep", "pivot"), ("component", "pivot_component"), ("own", "pivot_own"), ("size", "pivot_size"))))
         pairs = (
             now.join(pivot, "token")
             .filter("pivot < rep AND pivot_component <> component")
+            .filter("(pivot_own AND pivot_size <= size) OR (own AND size <= pivot_size)")
             .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
             .distinct()
         )
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         done = pivot.select("token", F.col("pivot").alias("rep"))
-        rows = staged(now.select("token", "rep").join(done, ["token", "rep"], "left_anti"), "rows")
+        rows = staged(now.drop("component").join(done, ["token", "rep"], "left_anti"), "rows")
         new = staged(verified(pairs).select("a", "b"), "new-links")
         found = new if found is None else found.union(new)
         labels = components(found)

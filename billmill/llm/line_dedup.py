@@ -128,7 +128,8 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     met = probe.join(held, "token").filter("one <> h OR n > 1").select("token", F.col("h").alias("rep"))
     met = staged(met, "met")
     owners = index.withColumnRenamed("h", "rep").join(met.select("token").distinct(), "token", "left_semi")
-    rows = staged(met.union(owners.select("token", "rep")).distinct(), "rows")
+    sides = met.withColumn("own", F.lit(False)).unionByName(owners.select("token", "rep", F.lit(True).alias("own")))
+    rows = staged(sides.groupBy("token", "rep").agg(F.max("own").alias("own"), F.lit(0).alias("size")), "rows")
 
     def verified(pairs: DataFrame) -> DataFrame:
         slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).cast("int")

@@ -160,7 +160,8 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     find as many of them in other texts as a link needs. What is left is put in the order of how
     many of the texts left have a token, rarest first, and each set is known by as many of its
     first tokens as may be missing from a partner, and one more, within the part of its length
-    and the next. Sets that meet are compared by groups (see components_of_groups). Before the
+    and the next. With a partner no smaller than itself a set shares still more, so fewer tokens
+    can be the first that both have; those it owns. Sets that meet are compared by groups (see components_of_groups). Before the
     count, the prefixes in two further orders must meet.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows
@@ -181,20 +182,25 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     met = staged(met.select("doc_id").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "met")
 
     texts = _only(met, docs).join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = texts.mapInArrow(_all_tokens(percent, words), TOKENS).select("doc_id", "need", F.explode("tokens").alias("token"))
+    held = texts.mapInArrow(_all_tokens(percent, words), TOKENS)
+    held = held.select("doc_id", "need", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     shared = staged(held.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared-by-some")
     part = F.floor(F.log(F.col("need").cast("double")) / F.log(F.lit(105 / percent))).cast("int")
+    more_needed = F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int")
     rows = (
         held.join(shared, "token")
-        .groupBy("doc_id", "need")
+        .groupBy("doc_id", "need", "size")
         .agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("tokens"))
         .filter(F.size("tokens") >= F.col("need"))
         .select(
             F.col("doc_id").alias("rep"),
+            "size",
             part.alias("part"),
-            F.explode(F.slice("tokens.token", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("token"),
+            (F.size("tokens") - more_needed + 1).alias("owned"),
+            F.posexplode(F.slice("tokens.token", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("place", "token"),
         )
-        .select("rep", F.explode(F.array(F.xxhash64("token", "part"), F.xxhash64("token", F.col("part") + 1))).alias("token"))
+        .select("rep", "size", (F.col("place") < F.col("owned")).alias("own"),
+                F.explode(F.array(F.xxhash64("token", "part"), F.xxhash64("token", F.col("part") + 1))).alias("token"))
     )
     rows = staged(rows, "rows")
 
