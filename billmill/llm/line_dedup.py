@@ -25,9 +25,8 @@ def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return (number - 1) * short + longer_before + 1, short + F.when(F.lit(number) > parts - rest, 1).otherwise(0)
 
 
-def segment_keys(line: Column, edits: int) -> list[Column]:
+def segment_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """The index keys of a line: its length, and number and text of each segment."""
-    length = F.length(line)
     keys = []
     for number in range(1, edits + 2):
         start, size = _segment(length, number, edits)
@@ -35,11 +34,10 @@ def segment_keys(line: Column, edits: int) -> list[Column]:
     return keys
 
 
-def probe_keys(line: Column, edits: int, least: int) -> list[Column]:
+def probe_keys(line: Column, length: Column, edits: int, least: int) -> list[Column]:
     """Keys under which lines of equal or shorter length may be found. A partner shorter by
     `less` has some segment unchanged in this line, shifted by no more than what the edits
     before and after it allow; only those places are looked up."""
-    length = F.length(line)
     keys = []
     for less in range(edits + 1):
         other = length - less
@@ -121,9 +119,10 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     slim = staged(lines.select("doc_id", "line_no", F.when(~blank, ident).alias("h")), "lines")
 
     long = lines.filter(F.length("line") >= least).filter(~blank).groupBy("line").agg(F.count("*").alias("n")).select(ident.alias("h"), "line")
-    line = F.col("line")
-    index = long.select("h", F.explode(F.array(*segment_keys(line, edits))).alias("token"))
-    probe = long.select("h", F.explode(F.array_compact(F.array(*probe_keys(line, edits, least)))).alias("token"))
+    long = settled(long, chars=F.length("line"))  # finding the length of a line takes a walk over it
+    line, chars = F.col("line"), F.col("chars")
+    index = long.select("h", F.explode(F.array(*segment_keys(line, chars, edits))).alias("token"))
+    probe = long.select("h", F.explode(F.array_compact(F.array(*probe_keys(line, chars, edits, least)))).alias("token"))
     held = index.groupBy("token").agg(F.min("h").alias("one"), F.count("*").alias("n"))
     met = probe.join(held, "token").filter("one <> h OR n > 1").select("token", F.col("h").alias("rep"))
     met = staged(met, "met")
