@@ -30,11 +30,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def components_of_groups(rows: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def components_of_groups(
+    rows: DataFrame, verified: Callable[[DataFrame], DataFrame], may_link: str = "true"
+) -> DataFrame | None:
     """Components over all links between members of one group, where `rows` (token, rep, own,
     size) says which members a group has, and `verified` keeps the pairs (a, b) that link. Two
-    members are compared if one that is no larger than the other owns the group. None if no two
-    members share a group.
+    members are compared if one that is no larger than the other owns the group, and if the
+    condition `may_link` holds, which sees all columns of one and those of the other as pivot_*.
+    None if no two members share a group.
 
     Each round compares every group's first members (its pivots) with all others that are not
     yet in their component, and takes the pivots out. Groups of one component are done. So each
@@ -55,11 +58,12 @@ def components_of_groups(rows: DataFrame, verified: Callable[[DataFrame], DataFr
             return labels
         first = Window.partitionBy("token").orderBy("rep")
         pivot = now.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= pivots)
-        pivot = pivot.select("token", *(F.col(c).alias(n) for c, n in (("rep", "pivot"), ("component", "pivot_component"), ("own", "pivot_own"), ("size", "pivot_size"))))
+        pivot = pivot.select("token", F.col("rep").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in now.columns if c not in ("token", "rep")))
         pairs = (
             now.join(pivot, "token")
             .filter("pivot < rep AND pivot_component <> component")
             .filter("(pivot_own AND pivot_size <= size) OR (own AND size <= pivot_size)")
+            .filter(may_link)
             .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
             .distinct()
         )

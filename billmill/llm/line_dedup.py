@@ -1,5 +1,8 @@
 """Lines that are equal or nearly equal: an edit-distance join on segments of lines."""
 
+from functools import reduce
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from billmill.llm.components import components_of_groups
 EDITS = 2
 LEAST_CHARS = 24
 SLOTS = 1 << 20
+LETTERS = ascii_lowercase + " "
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -50,6 +54,14 @@ def probe_keys(line: Column, length: Column, edits: int, least: int) -> list[Col
     return keys
 
 
+def odd_letters(line: Column) -> Column:
+    """A bit for each letter (and the space) that a line holds an odd number of times. An edit
+    changes two bits at most."""
+    size = F.octet_length(line)
+    odd = [(size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)) for c in LETTERS]
+    return reduce(lambda bits, i: bits.bitwiseOR(F.shiftleft(odd[i], i)), range(1, len(odd)), odd[0])
+
+
 def _common(a: Column, b: Column, most: Column, part) -> Column:
     """The largest n, up to `most`, at which part(a, n) = part(b, n), bit by bit."""
     bits = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
@@ -110,7 +122,8 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     Equal lines are one before anything is compared (told apart by a 64-bit hash and length).
     A line is put under its edits + 1 segments; lines of its length and up to `edits` longer
     look under the substrings that an unchanged segment could have become. Lines that meet are
-    compared by groups, then verified. Only the lines to verify are looked up by text, through a
+    compared by groups if no more letters differ in whether their number is odd than the edits
+    can change, then verified. Only the lines to verify are looked up by text, through a
     semi-join with at most SLOTS numbers.
     """
     lines = lines_of(docs)
@@ -119,16 +132,17 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     slim = staged(lines.select("doc_id", "line_no", F.when(~blank, ident).alias("h")), "lines")
 
     long = lines.filter(F.length("line") >= least).filter(~blank).groupBy("line").agg(F.count("*").alias("n")).select(ident.alias("h"), "line")
-    long = settled(long, chars=F.length("line"))  # finding the length of a line takes a walk over it
+    long = settled(long, chars=F.length("line"), odd=odd_letters(F.col("line")))  # finding the length of a line takes a walk over it
     line, chars = F.col("line"), F.col("chars")
-    index = long.select("h", F.explode(F.array(*segment_keys(line, chars, edits))).alias("token"))
-    probe = long.select("h", F.explode(F.array_compact(F.array(*probe_keys(line, chars, edits, least)))).alias("token"))
+    index = long.select("h", "odd", F.explode(F.array(*segment_keys(line, chars, edits))).alias("token"))
+    probe = long.select("h", "odd", F.explode(F.array_compact(F.array(*probe_keys(line, chars, edits, least)))).alias("token"))
     held = index.groupBy("token").agg(F.min("h").alias("one"), F.count("*").alias("n"))
-    met = probe.join(held, "token").filter("one <> h OR n > 1").select("token", F.col("h").alias("rep"))
+    met = probe.join(held, "token").filter("one <> h OR n > 1").select("token", F.col("h").alias("rep"), "odd")
     met = staged(met, "met")
     owners = index.withColumnRenamed("h", "rep").join(met.select("token").distinct(), "token", "left_semi")
-    sides = met.withColumn("own", F.lit(False)).unionByName(owners.select("token", "rep", F.lit(True).alias("own")))
-    rows = staged(sides.groupBy("token", "rep").agg(F.max("own").alias("own"), F.lit(0).alias("size")), "rows")
+    sides = met.withColumn("own", F.lit(False)).unionByName(owners.select("token", "rep", "odd", F.lit(True).alias("own")))
+    rows = sides.groupBy("token", "rep", "odd").agg(F.max("own").alias("own"), F.lit(0).alias("size"))
+    rows = staged(rows, "rows")
 
     def verified(pairs: DataFrame) -> DataFrame:
         slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).cast("int")
@@ -138,7 +152,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
         sided = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
         return within(sided.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"), edits)
 
-    labels = components_of_groups(rows, verified)
+    labels = components_of_groups(rows, verified, f"bit_count(odd ^ pivot_odd) <= {2 * edits}")
     if labels is not None:
         slim = slim.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("h", F.coalesce("component", "h"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
