@@ -47,7 +47,7 @@ class Index:
         self.seen = np.zeros(1 << _SEEN_BITS, bool)
         blocks = -(-len(items) // ITEMS_PER_BLOCK)
         self.block_max = np.zeros((len(self.words), blocks), np.float32)
-        self.questions, self.answers = [], []
+        self.questions, self.asked, self.answers = [], [], []
         postings: list[list[tuple[int, float]]] = [[] for _ in self.words]
         for number, (_, words) in enumerate(items):
             terms, times = np.unique(words, return_counts=True)
@@ -60,7 +60,8 @@ class Index:
                 postings[term].append((number, float(value)))
                 self.block_max[term, number // ITEMS_PER_BLOCK] = max(self.block_max[term, number // ITEMS_PER_BLOCK], value)
             last = max(1, len(words) // ANSWER_PART)
-            self.questions.append(np.unique(shingles(words, np.array([0, len(words) - last]), WORDS)[0]))
+            self.questions.append(words[: len(words) - last])
+            self.asked.append(np.unique(shingles(words, np.array([0, len(words) - last]), WORDS)[0]))
             self.answers.append(np.unique(words[len(words) - last :]))
         self.block_max *= np.float32(1.00001)  # rounding must not lower a bound
         self.items = [[i for i, _ in own] for own in postings]
@@ -127,9 +128,9 @@ class Index:
 
     def verify(self, item: int, words: np.ndarray) -> tuple[float, float]:
         """Shares of the item's question (runs of words) and answer (words) in a passage."""
-        question, answer = self.questions[item], self.answers[item]
-        runs = shingles(words, np.array([0, len(words)]), min(WORDS, len(words)))[0]
-        asked = np.isin(question, runs).mean() if len(question) else 1.0
+        question, own, answer = self.questions[item], self.asked[item], self.answers[item]
+        runs = shingles(words, np.array([0, len(words)]), max(1, min(WORDS, len(question))))[0]
+        asked = np.isin(own, runs).mean() if len(own) else 1.0
         return float(asked), float(np.isin(answer, words).mean())
 
 
@@ -204,7 +205,8 @@ def matched(
     words, a stride being the longest item's length) is a BM25 query against the items; all
     items are retrieved that reach `threshold` of their own score. They are verified: `overlap`
     of the runs of five words of the item's question (all but its last quarter) and of the
-    words of its answer (the last quarter) must stand in the passage.
+    words of its answer (the last quarter) must stand in the passage. A question of fewer words is
+    one run.
 
     Items are read ITEMS_PER_INDEX at a time and INDEXES_PER_PASS indexes go over the texts at
     once, so what is broadcast is bounded however many items there are. A null, empty or

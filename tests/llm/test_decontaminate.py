@@ -125,3 +125,12 @@ def test_odd_rows(spark):
     assert len(passed) == len(rows) and set(passed[0].row.asDict()) == {"doc_id", "text", "item_id"}
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == []
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == []
+
+
+def test_items_of_one_to_six_words(spark):
+    items = [(n, " ".join(f"v{n}x{k}" for k in range(n))) for n in range(1, 7)]
+    docs = [(n, f"some words {item} and more") for n, item in items] + [(10 + n, item) for n, item in items]
+    docs += [(20 + n, " ".join(item.split()[:-1])) for n, item in items]  # without the answer
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == {(n, n) for n, _ in items} | {(10 + n, n) for n, _ in items}
