@@ -37,11 +37,35 @@ class Collection:
     items_of: dict[int, int] = field(repr=False, default_factory=dict)
 
 
+def aligned(question: np.ndarray, words: np.ndarray) -> float:
+    """Share of a question that stands in order somewhere in a passage: its words less the
+    fewest words inserted, left out or replaced (bit-parallel, a bit for each word asked)."""
+    size = len(question)
+    full, last = (1 << size) - 1, 1 << (size - 1)
+    at: dict[int, int] = {}
+    for k, word in enumerate(question.tolist()):
+        at[word] = at.get(word, 0) | 1 << k
+    up, down, edits, best = full, 0, size, size
+    for word in words.tolist():
+        same = at.get(word, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(flat | up)), up & flat
+        edits += bool(right & last) - bool(left & last)
+        best = min(best, edits)
+        right, left = (right << 1) & full, (left << 1) & full
+        up, down = left | (full & ~(flat | right)), right & flat
+    return 1 - best / size
+
+
 class Index:
     """Postings of the items' words with the impact of each, as a share of the score that the
-    item gives itself; blocks of ITEMS_PER_BLOCK items with the highest impact of each word."""
+    item gives itself; blocks of ITEMS_PER_BLOCK items with the highest impact of each word.
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], collection: Collection, threshold: float = THRESHOLD):
+    With `near`, an item's impacts are raised so that its whole question, and the item without
+    any one of its words, reach the threshold; `raised` says by how much."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], collection: Collection, threshold: float = THRESHOLD, near: bool = False):
+        self.near, self.raised = near, np.ones(len(items))
         self.ids = [i for i, _ in items]
         self.words = np.unique(np.concatenate([*(w for _, w in items), np.zeros(0, np.uint64)]))
         self.seen = np.zeros(1 << _SEEN_BITS, bool)
@@ -56,11 +80,18 @@ class Index:
             length = 1 - B + B * len(words) / collection.mean_length
             impact = idf * times * (K1 + 1) / (times + K1 * length)
             impact /= impact.sum() or 1.0
+            last = max(1, len(words) // ANSWER_PART)
+            question = words[: len(words) - last]
+            if near and len(question) > 2:  # of less, nothing but the item is like it
+                least = 1 - impact.max()
+                if len(question) >= WORDS:
+                    least = min(least, impact[np.isin(terms, question)].sum())
+                self.raised[number] = max(1.0, threshold / max(least * (1 - 1e-6), 1e-6))
+                impact *= self.raised[number]
             for term, value in zip(np.searchsorted(self.words, terms), impact, strict=True):
                 postings[term].append((number, float(value)))
                 self.block_max[term, number // ITEMS_PER_BLOCK] = max(self.block_max[term, number // ITEMS_PER_BLOCK], value)
-            last = max(1, len(words) // ANSWER_PART)
-            self.questions.append(words[: len(words) - last])
+            self.questions.append(question)
             self.asked.append(np.unique(shingles(words, np.array([0, len(words) - last]), WORDS)[0]))
             self.answers.append(np.unique(words[len(words) - last :]))
         self.block_max *= np.float32(1.00001)  # rounding must not lower a bound
@@ -127,12 +158,19 @@ class Index:
                     forward(entry, item)
 
     def verify(self, item: int, words: np.ndarray) -> tuple[float, float]:
-        """Shares of the item's question (runs of words) and answer (words) in a passage."""
+        """Shares of the item's question (runs of words; with `near`, or words in order if more)
+        and answer (words) in a passage."""
         question, own, answer = self.questions[item], self.asked[item], self.answers[item]
         runs = shingles(words, np.array([0, len(words)]), max(1, min(WORDS, len(question))))[0]
         asked = np.isin(own, runs).mean() if len(own) else 1.0
+        if self.near and asked < 1:
+            asked = max(asked, aligned(question, words))
         return float(asked), float(np.isin(answer, words).mean())
 
+    def leaked(self, item: int, asked: float, answered: float, overlap: float) -> bool:
+        whole = self.near and asked >= 1 and len(self.questions[item]) >= WORDS
+        return whole or (asked >= overlap and answered >= overlap)
+
 
 def _passages(index: Index, hashes: np.ndarray, starts: np.ndarray, stride: int, threshold: float):
     """Text, first and last word and index words of the passages whose block maxima reach the
@@ -173,8 +211,8 @@ def _leaks(texts: pa.Array, indexes: list[Index], stride: int, threshold: float,
         for text, a, b, terms in _passages(index, hashes, starts, stride, threshold):
             for item, score in index.retrieve(terms, threshold):
                 asked, answered = index.verify(item, hashes[a:b])
-                if asked >= overlap and answered >= overlap:
-                    own = (round(score, 6), round(asked, 6), round(answered, 6))
+                if index.leaked(item, asked, answered, overlap):
+                    own = (round(score / index.raised[item], 6), round(asked, 6), round(answered, 6))
                     found[text][index.ids[item]] = max(own, found[text].get(index.ids[item], own))
     return found
 
@@ -196,7 +234,7 @@ def collection(items: DataFrame) -> tuple[DataFrame, Collection]:
 
 
 def matched(
-    docs: DataFrame, items: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP
+    docs: DataFrame, items: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP, near: bool = False
 ) -> DataFrame:
     """Every row of docs as `row` (a struct of all its columns, or of `keep`) with `leaks`: the
     items (item_id, text) found in its text, with score and overlaps, in order of item_id.
@@ -208,6 +246,11 @@ def matched(
     words of its answer (the last quarter) must stand in the passage. A question of fewer words is
     one run.
 
+    With `near`, near copies of short items count too: of the question, words in order are taken
+    where they are a larger share than runs, and a whole question of five words or more needs no
+    answer. The threshold is lower for items that would not reach it by their whole question, or
+    without one of their words.
+
     Items are read ITEMS_PER_INDEX at a time and INDEXES_PER_PASS indexes go over the texts at
     once, so what is broadcast is bounded however many items there are. A null, empty or
     wordless text has no leaks; such items, and items without an id, are never found. Of items
@@ -226,7 +269,7 @@ def matched(
         ask = own.select(F.explode("words").alias("word")).distinct().join(per_word, "word")
         whole.items_of = dict(Counter({r.word & (2**64 - 1): r["items"] for r in ask.toLocalIterator()}))
         listed = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own.orderBy("item_id", "words").toLocalIterator()]
-        indexes = [Index(listed[i : i + ITEMS_PER_INDEX], whole, threshold) for i in range(0, len(listed), ITEMS_PER_INDEX)]
+        indexes = [Index(listed[i : i + ITEMS_PER_INDEX], whole, threshold, near) for i in range(0, len(listed), ITEMS_PER_INDEX)]
         rows = _pass(rows, spark.sparkContext.broadcast(indexes), stride, threshold, overlap)
     return rows.select("row", F.array_sort("leaks").alias("leaks"))
 
@@ -246,6 +289,6 @@ def _pass(rows: DataFrame, shared, stride: int, threshold: float, overlap: float
     return rows.mapInArrow(read, rows.schema)
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, near: bool = False) -> DataFrame:
     """doc_id and item_id of every document that holds a test item, with score and overlaps."""
-    return matched(docs, items, ["doc_id"]).select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return matched(docs, items, ["doc_id"], near=near).select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

@@ -134,3 +134,35 @@ def test_items_of_one_to_six_words(spark):
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert got == {(n, n) for n, _ in items} | {(10 + n, n) for n, _ in items}
+
+
+def test_aligned_against_dynamic_programming():
+    source = random.Random(3)
+    for _ in range(300):
+        question, passage = ([source.randrange(4) for _ in range(source.randrange(low, 12))] for low in (1, 0))
+        row = list(range(len(question) + 1))
+        best = row[-1]
+        for word in passage:
+            above = row[:]
+            for k, own in enumerate(question, 1):
+                row[k] = min(above[k] + 1, row[k - 1] + 1, above[k - 1] + (own != word))
+            best = min(best, row[-1])
+        assert decontaminate.aligned(np.array(question), np.array(passage, int)) == pytest.approx(1 - best / len(question))
+
+
+def test_near_copies_of_short_items(spark):
+    """One word replaced at every place, and the question without its answer."""
+    items = [(n, " ".join(f"v{n}x{k}" for k in range(n))) for n in (6, 8, 15, 20)]
+    docs, want = [], set()
+    for n, item in items:
+        for at in range(n):
+            own = item.split()
+            own[at] = "other"
+            docs.append((100 * n + at, "before " + " ".join(own) + " behind"))
+            want.add((100 * n + at, n))
+        docs.append((100 * n + 50, " ".join(item.split()[: n - max(1, n // 4)])))
+        want.add((100 * n + 50, n))
+        docs.append((100 * n + 51, " ".join(item.split()[: n // 3])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, near=True).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and all(r.score < 1 for r in rows)
