@@ -12,6 +12,8 @@ SAMPLE_PER_DOMAIN = 2_000
 WORDS_PER_DOMAIN = 40
 LEAST_DOCUMENTS = 5
 LEAST_Z = 5.0  # chance alone gives this to no word of a million
+SEED = 8
+CLEAR = 0.5  # posterior above which a document of a dropped domain goes
 STEPS = 60
 CLOSE = 1e-4  # of all target tokens
 STILL = 1e-5  # of all tokens: no more is moved by a step
@@ -33,12 +35,22 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("\\p{L}+|[^\\p{L}\\s]+"), F.lit(0))
 
 
+def _significance(own: Column, size: float, others: Column, rest: float) -> Column:
+    """Root of the likelihood ratio of two shares (own of size, others of rest) against one, with
+    the sign of their difference. It holds for few documents too, where the normal z is too large."""
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    pooled = (own + others) / F.lit(float(size + rest))
+    ratio = sum((part(n, m * pooled) + part(m - n, m * (1 - pooled)) for n, m in ((own, F.lit(float(size))), (others, F.lit(float(rest))))), F.lit(0.0))
+    return F.signum(own / F.lit(float(size)) - others / F.lit(float(rest))) * F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN) -> Classifier:
     """Learn domains from a table of labels (doc_id, domain).
 
     The sample is the first `per_domain` labelled documents of each domain in the order of a
     hash of the id. For each domain the WORDS_PER_DOMAIN words are kept whose share of its
-    documents is most significantly above that of the others' (ties by the word). Rows without
+    documents is most significantly above that of the others' (ties by the word); equal texts of
+    a domain count as one. Rows without
     doc_id or domain are not used; without any label there is one domain, `all`.
     """
     first = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -50,6 +62,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN)
         .drop("rank")
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # per_domain rows of each domain
+    sample = sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["domain", "h"])  # equal texts say a thing once
     sample = staged(sample.select("domain", F.array_distinct(tokens_of(F.col("text"))).alias("tokens")), "labelled")
     sizes = {r.domain: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
@@ -58,15 +71,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN)
     size, whole = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)), float(sum(sizes.values()))
     counts = sample.select("domain", F.explode("tokens").alias("word")).groupBy("word").pivot("domain", domains).count().na.fill(0)
     total = sum((F.col(f"`{d}`") for d in domains), F.lit(0))
-    pooled = total / whole
     long = counts.filter(total >= LEAST_DOCUMENTS).select(
         "word",
         *(F.col(f"`{d}`").alias(f"n{k}") for k, d in enumerate(domains)),
         F.explode(F.array(*(
             F.struct(
                 F.lit(d).alias("domain"),
-                ((F.col(f"`{d}`") / sizes[d] - (total - F.col(f"`{d}`")) / (whole - sizes[d]))
-                 / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / sizes[d] + 1 / (whole - sizes[d])))).alias("z"),
+                _significance(F.col(f"`{d}`"), sizes[d], total - F.col(f"`{d}`"), whole - sizes[d]).alias("z"),
             )
             for d in domains
         ))).alias("own"),
@@ -155,12 +166,23 @@ def domain_of_labels() -> Column:
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None,
           drop: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs as `row` (a struct of all its columns) with `copies`, its rate rounded
-    to a whole number. Rows are as for `mix`."""
+    """Every row of docs as `row` (a struct of all its columns) with `copies`, a whole number. Rows
+    are as for `mix`.
+
+    A row has no copy if its posterior for the domains in `drop` together is above CLEAR. The
+    others are drawn by their rate: its whole part, and one more by a hash of the text with the
+    chance of the rest, so equal texts are drawn alike. Without targets, where the domains keep
+    what they have, they have the rounded rate and one copy at least.
+    """
     model = fit(docs, labels)
     history = fit_rates(classified(docs, model), model.domains, targets, total, drop)
-    rated = classified(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text")), model, "row")
-    return settled(rated, copies=F.round(_rate(F.col("posterior"), history)).cast("int")).select("row", "copies")
+    both = F.struct(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64("text", F.lit(SEED)).alias("drawn"))
+    rated = classified(docs.select(both.alias("both"), F.col("text")), model, "both")
+    dropped = sum((F.element_at("posterior", k + 1) for k, d in enumerate(model.domains) if d in drop), F.lit(0.0))
+    chance = F.pmod(F.col("both.drawn"), F.lit(1 << 20)) / float(1 << 20)
+    rate = _rate(F.col("posterior"), history)
+    copies = F.greatest(F.round(rate), F.lit(1)) if targets is None else F.floor(rate + chance)
+    return settled(rated, copies=F.when(dropped > CLEAR, 0).otherwise(copies).cast("int")).select("both.row", "copies")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, total: float | None = None,

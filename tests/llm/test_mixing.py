@@ -68,3 +68,16 @@ def test_odd_rows(spark):
     assert len(drawn) == len(rows) and set(drawn[0].row.asDict()) == {"doc_id", "text", "rate"}
     assert all(r.copies == 0 for r in drawn if "bad" in (r.row.text or ""))
     assert all(r.copies == 1 for r in drawn if "kind" in (r.row.text or ""))
+
+
+def test_drawn_leaves_out_toxic_and_keeps_clean_text(spark, sf_dir):
+    """At sf0.1, by the ten words and by the labels, as other languages have other toxic words."""
+    path = sf_dir.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    domains = labels.select("doc_id", mixing.domain_of_labels().alias("domain"))
+    rows = mixing.drawn(spark.read.parquet(f"{path}/documents.parquet"), domains, drop=("toxic",)).collect()
+    worded = {r.row.doc_id for r in rows if set(re.findall(r"\w+", (r.row.text or "").lower())) & set(TOXIC)}
+    clean = [r for r in rows if r.row.doc_id not in worded and toxic.get(r.row.doc_id) == 0]
+    assert sum(r.copies > 0 for r in rows if r.row.doc_id in worded) <= 0.06 * len(worded)
+    assert sum(r.copies == 0 for r in clean) <= 0.002 * len(clean)
