@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billmill.llm import attention_lm, decontaminate, language, line_dedup, mixing, ngram_join, sharding, spotsigs, token_counts, warc
+from billmill.llm import attention_lm, decontaminate, language, line_dedup, mixing, ngram_join, personal_data, sharding, spotsigs, token_counts, warc
 from billmill.llm.common import split_of, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,8 @@ def _(spark, d):
     held_out = split_of(F.col("doc_id"), 7) == 2
     found = attention_lm.score(table(spark, d, "documents"), ~held_out, f"{TOKENIZERS}/piece_bpe_32k.model")
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op13_personal_data")
+def _(spark, d):
+    return personal_data.counted(table(spark, d, "documents"))
