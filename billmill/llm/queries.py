@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billmill.llm import attention_lm, decontaminate, language, line_dedup, mixing, ngram_join, personal_data, sharding, spotsigs, token_counts, warc
+from billmill.llm import attention_lm, decontaminate, language, line_dedup, mixing, ngram_join, periodic_runs, personal_data, sharding, spotsigs, token_counts, warc
 from billmill.llm.common import split_of, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,11 @@ def _(spark, d):
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op12_periodic_runs")
+def _(spark, d):
+    return periodic_runs.digested(table(spark, d, "documents"))
+
+
 @query("op13_personal_data")
 def _(spark, d):
     return personal_data.counted(table(spark, d, "documents"))
