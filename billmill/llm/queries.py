@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billmill.llm import attention_lm, decontaminate, language, line_dedup, mixing, ngram_join, periodic_runs, personal_data, sharding, spotsigs, token_counts, warc
+from billmill.llm import attention_lm, decontaminate, hard_negatives, language, line_dedup, mixing, ngram_join, periodic_runs, personal_data, sharding, spotsigs, token_counts, warc
 from billmill.llm.common import split_of, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,21 @@ def _(spark, d):
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op11_hard_negatives", """WITH c AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM c a JOIN c b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+      row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    QUALIFY rank <= 10""")
+def _(spark, d):
+    return hard_negatives.mine(hard_negatives.usable_rows(table(spark, d, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 @query("op12_periodic_runs")
 def _(spark, d):
     return periodic_runs.digested(table(spark, d, "documents"))
