@@ -3,65 +3,63 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billmill.functions import text
 from billmill.model import SCHEMAS
 
-LINE_COLUMNS = ["file_id", "page", "line_no", "text"]
-
-
-def _lines_of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Printed lines of pages whose words arrive page by page, from top to bottom.
-
-    A word joins one of the last three lines when its centre lies in the middle of that
-    line's first word, or the other way round. That depends on the words before it, so it is
-    the one sequential loop here; only the page at hand is held.
-    """
-    page: tuple | None = None
-    lines: list[list[tuple]] = []
-
-    def printed() -> list[tuple]:
-        texts = [" ".join(w[2] for w in sorted(line, key=lambda w: w[3])) for line in lines]
-        return [(*page, number, text) for number, text in enumerate(texts)]
-
-    for batch in batches:
-        done: list[tuple] = []
-        columns = [batch[c].tolist() for c in ("file_id", "page", "top", "bottom", "text", "left")]
-        for file_id, number, top, bottom, text, left in zip(*columns, strict=True):
-            if page != (file_id, number):
-                if page is not None:
-                    done += printed()
-                page, lines = (file_id, number), []
-            word = (top, bottom, text, left)
-            for line in reversed(lines[-3:]):
-                if _overlap(line[0], word):
-                    line.append(word)
-                    break
-            else:
-                lines.append([word])
-        yield pd.DataFrame(done, columns=LINE_COLUMNS)
-    if page is not None:
-        yield pd.DataFrame(printed(), columns=LINE_COLUMNS)
-
-
-def _overlap(first: tuple, word: tuple) -> bool:
-    """Either centre lies within the other's height, a quarter of the lower one off."""
-    margin = 0.25 * min(max(w[1] - w[0], 1.0) for w in (first, word))
-    inside = lambda a, b: b[0] + margin <= (a[0] + a[1]) / 2 <= b[1] - margin
-    return inside(word, first) or inside(first, word)
+# A word is held against the first word of so many lines, the latest first.
+LINES_LOOKED_AT = 3
+# Share of the lower of two boxes, off its top and bottom, where a centre doesn't count.
+EDGE = 0.25
+STATE = "struct<recent: array<struct<line: int, top: double, bottom: double>>, lines: int, line_of: array<int>>"
+
+
+def _side_by_side(a: Column, b: Column) -> Column:
+    """Whether the centre of one box lies well within the height of the other."""
+    height = lambda box: F.greatest(box["bottom"] - box["top"], F.lit(1.0))
+    edge = F.least(height(a), height(b)) * EDGE
+    apart = F.abs((a["top"] + a["bottom"]) - (b["top"] + b["bottom"])) / 2
+    return apart <= F.greatest(a["bottom"] - a["top"], b["bottom"] - b["top"]) / 2 - edge
+
+
+def _placed(state: Column, word: Column) -> Column:
+    """The state after one more word: it joins the latest line whose first word it stands
+    beside, or starts a line."""
+    beside = F.filter(state["recent"], lambda first: _side_by_side(first, word))
+
+    def after(line: Column) -> Column:
+        first = F.struct(state["lines"].alias("line"), word["top"].alias("top"), word["bottom"].alias("bottom"))
+        opened = F.slice(F.concat(F.array(first), state["recent"]), 1, LINES_LOOKED_AT)
+        return F.struct(
+            F.when(line.isNull(), opened).otherwise(state["recent"]).alias("recent"),
+            (state["lines"] + line.isNull().cast("int")).alias("lines"),
+            F.array_append(state["line_of"], F.coalesce(line, state["lines"])).alias("line_of"),
+        )
+
+    return text.let(F.get(beside, F.lit(0))["line"], after)
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
-    """Lines (file_id, page, line_no, text) from word boxes: one exchange by page, then one
-    pass over each partition's sorted words."""
-    centre = (F.col("top") + F.col("bottom")) / 2
-    ordered = words.repartition("file_id", "page").sortWithinPartitions(
-        "file_id", "page", centre, "left"
+    """Lines (file_id, page, line_no, text) from word boxes: one exchange by page, where the
+    words, by centre and from the left, are folded into lines; within a line they are joined
+    from the left. Words of one place are joined in the order of their texts."""
+    page = ["file_id", "page"]
+    centre = ((F.col("top") + F.col("bottom")) / 2).alias("centre")
+    box = F.struct(centre, *[F.col(c).cast("double").alias(c) for c in ("left", "top", "bottom")], "text")
+    pages = words.groupBy(*page).agg(F.array_sort(F.collect_list(box)).alias("words"))
+    none = F.lit(None).cast(STATE)
+    start = F.struct(
+        F.coalesce(none["recent"], F.array()).alias("recent"), F.lit(0).alias("lines"),
+        F.coalesce(none["line_of"], F.array()).alias("line_of"),
+    )
+    placed = pages.withColumn("line_of", F.aggregate("words", start.cast(STATE), _placed)["line_of"])
+    each = placed.select(*page, F.posexplode(F.arrays_zip("words", "line_of")).alias("at", "word"))
+    from_left = F.array_sort(F.collect_list(F.struct(F.col("word.words.left").alias("left"), "at", F.col("word.words.text").alias("text"))))
+    lines = each.groupBy(*page, F.col("word.line_of").alias("line_no")).agg(
+        F.array_join(F.transform(from_left, lambda w: w["text"]), " ").alias("text")
     )
-    read = ordered.select("file_id", "page", "top", "bottom", "text", "left")
-    lines = read.mapInPandas(_lines_of_pages, SCHEMAS["lines"])
     return lines.withColumn("text", text.tidy_ocr(F.col("text")))
 
 

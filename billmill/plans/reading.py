@@ -95,10 +95,8 @@ def _(spark, d):
       (6, 'tax_part', 'cgst', false), (8, 'total', 'grand total', true), (9, 'total', 'total', true))
       AS x(line_no, field, label, always) WHERE always OR tax IS NOT NULL""")
 def _(spark, d):
-    rows = printed.lines(spark, d).filter(~text.is_document_title(F.col("text")))
-    rows = rows.withColumn("m", labels.match_label(F.col("text")))
-    return rows.filter("m IS NOT NULL").select(
-        "file_id", F.col("page").cast("int").alias("page"), "line_no", "m.field", "m.label")
+    return pages.label_lines(printed.lines(spark, d)).select(
+        "file_id", F.col("page").cast("int").alias("page"), "line_no", "label.field", "label.label")
 
 
 @query("win3_strongest_label", f"""SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page,
@@ -321,9 +319,17 @@ def _(spark, d):
 # --- words of a scan ----------------------------------------------------------------------------
 
 
-@query("win14_words_to_lines")
+@query("win14_words_to_lines", """SELECT conv_id AS file_id, turn AS page, CAST(k // 7 AS INT) AS line_no,
+      string_agg('n' || k, ' ' ORDER BY k DESC) AS text
+    FROM (SELECT conv_id, turn, unnest(range(len(string_split(text, ' ')))) AS k FROM conversations) GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return words.words_to_lines(printed.words(spark, d))
+    # A box per word, seven on a line, from the right to the left and slightly uneven.
+    k = F.posexplode(F.split("text", " ")).alias("k", "word")
+    said = b.table(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("page"), k)
+    k, top = F.col("k"), F.floor(F.col("k") / 7) * 24 + F.col("k") % 3
+    boxes = said.select("file_id", "page", F.concat(F.lit("n"), k.cast("string")).alias("text"),
+                        (600 - k % 7 * 100).alias("left"), top.alias("top"), (top + 20).alias("bottom"))
+    return words.words_to_lines(boxes)
 
 
 @query("win14_receipts_from_words", f"""SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS first_page,

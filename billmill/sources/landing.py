@@ -152,9 +152,10 @@ def _fields(record: Column, delimiter: str) -> Column:
 
 def csv_cells(files: DataFrame, file_id: str = "file_id", content: str = "text") -> DataFrame:
     """Delimited text as cells, each file with its own delimiter. Blank cells are null.
-    Records may hold line breaks inside quotes; rows may have different widths."""
+    Records may hold line breaks inside quotes; rows may have different widths. Files are
+    exchanged before they are read, as reading is heavy and a scan may be one part."""
     sample = F.substring(content, 1, SNIFF_BYTES)
-    picked = files.select(
+    picked = files.repartition(file_id).select(
         file_id, F.col(content).alias("_text"), pick_delimiter(sample).alias("_d")
     )
     rows = picked.select(
