@@ -14,6 +14,23 @@ KNOWN = """(SELECT r.id, r.file_id, r.seq, v.raw_name AS vendor, r.receipt_date,
     r.total, CAST(CAST(CAST(r.tax * 100 AS BIGINT) // 2 AS DECIMAL(14,0)) * 0.01 AS DECIMAL(12,2))
       AS cgst FROM receipts r LEFT JOIN named_vendors v ON v.id = r.vendor_id)"""
 
+# A total as printed: groups of two digits above the thousands.
+WHOLE = "CAST(floor(total) AS BIGINT)"
+RUPEES = f"""(CASE WHEN total < 100000 THEN format('{{:,}}', {WHOLE}) ELSE ({WHOLE} // 100000) || ','
+      || lpad(CAST(({WHOLE} // 1000) % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({WHOLE} % 1000 AS VARCHAR), 3, '0') END
+    || '.' || lpad(CAST(CAST(total * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0'))"""
+SGST = "CAST(tax - cgst AS DECIMAL(12,2))"
+WITH_NAMES = f"""(SELECT k.*, p.printed FROM {KNOWN} k JOIN receipts r ON r.id = k.id
+      LEFT JOIN printed_vendors p ON p.id = r.vendor_id)"""
+# Every line that is printed.
+PRINTED = f"""(SELECT * FROM (SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page, line_no, cgst, {SGST} AS sgst, subtotal, total, printed,
+      CASE line_no WHEN 0 THEN CASE id % 3 WHEN 0 THEN 'TAX INVOICE' WHEN 1 THEN 'Cash Memo' END WHEN 1 THEN printed
+        WHEN 2 THEN 'GSTIN: 27ABCDE1234F1Z5' WHEN 3 THEN 'Invoice No: INV/' || id
+        WHEN 4 THEN 'Order Date 01/01/1990 Invoice Date: ' || strftime(receipt_date, '%d/%m/%Y')
+        WHEN 5 THEN 'Sub Total  ' || subtotal WHEN 6 THEN 'CGST @ 9% ' || cgst || ' SGST @ 9 %: ' || {SGST}
+        WHEN 7 THEN 'Thank you! Visit again.' WHEN 8 THEN 'Grand Total Rs. ' || {RUPEES} ELSE 'Total 2 items 1.00' END AS text
+    FROM {WITH_NAMES}, (SELECT CAST(unnest(range(10)) AS INT) AS line_no)) WHERE text IS NOT NULL)"""
+
 
 @query("job6_page_receipts", f"""SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS first_page,
       seq AS last_page, 'page ' || seq AS source, vendor, 'INV/' || id AS receipt_number,
@@ -79,14 +96,12 @@ def _(spark, d):
         F.size("row.cells").alias("numbers"))
 
 
-@query("arr2_sum_of_tokens", f"""SELECT id, CASE WHEN id % 4 <> 0 THEN
-      CAST(tax + CASE WHEN tax IS NULL THEN 0 ELSE total END AS DECIMAL(12,2)) END AS total
-    FROM {KNOWN} WHERE tax IS NOT NULL""")
+@query("arr2_sum_of_tokens", f"""SELECT id, CASE WHEN id % 4 <> 0 THEN CAST(tax + total AS DECIMAL(12,2)) END AS total
+    FROM {KNOWN}""")
 def _(spark, d):
-    rows = printed.known(spark, d).filter("tax IS NOT NULL")
     odd = F.when(F.col("id") % 4 == 0, F.lit("n/a")).otherwise(F.col("total").cast("string"))
     tokens = F.array(F.col("cgst").cast("string"), F.col("sgst").cast("string"), odd)
-    return rows.select("id", money.sum_tokens(tokens).alias("total"))
+    return printed.known(spark, d).select("id", money.sum_tokens(tokens).alias("total"))
 
 
 @query("join13_line_labels", f"""
@@ -99,48 +114,45 @@ def _(spark, d):
         "file_id", F.col("page").cast("int").alias("page"), "line_no", "label.field", "label.label")
 
 
+def amounts_of_pages(spark, d):
+    """Pages with the labelled amounts of all their lines."""
+    paged = pages.pages_of(pages.read_lines(printed.lines(spark, d)))
+    amounts = F.flatten(F.transform("lines", lambda x: x["amounts"]))
+    return paged.select("file_id", F.col("page").cast("int").alias("page"), amounts.alias("amounts"))
+
+
 @query("win3_strongest_label", f"""SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page,
       total FROM {KNOWN}""")
 def _(spark, d):
     # Grand Total beats the plain Total printed after it.
-    rows = printed.lines(spark, d).select(
-        "file_id", "page", "line_no", labels.match_label(F.col("text")).alias("m")
-    ).filter("m.field = 'total'").withColumn("amount", money.last_amount(F.col("m.rest")))
-    best = F.min_by("amount", F.when(F.col("amount").isNotNull(), F.struct("m.priority", "line_no")))
-    return rows.groupBy("file_id", F.col("page").cast("int").alias("page")).agg(best.alias("total"))
+    return amounts_of_pages(spark, d).select("file_id", "page", pages.strongest(F.col("amounts"), "total").alias("total"))
 
 
-@query("agg6_tax_from_parts", f"SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page, tax FROM {KNOWN} WHERE tax IS NOT NULL")
+@query("agg6_tax_from_parts", f"SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page, tax FROM {KNOWN}")
 def _(spark, d):
-    parts = printed.lines(spark, d).select(
-        "file_id", "page", "line_no", F.posexplode(labels.split_labelled(F.col("text"))).alias("at", "part"))
-    named = parts.select("file_id", "page", "line_no", "at", labels.match_label(F.col("part")).alias("m"))
-    named = named.filter("m.field = 'tax_part'").withColumn("amount", money.last_amount(F.col("m.rest")))
-    first = named.filter("amount IS NOT NULL").groupBy("file_id", "page", "m.label").agg(
-        F.min_by("amount", F.struct("line_no", "at")).alias("amount"))
-    return first.groupBy("file_id", F.col("page").cast("int").alias("page")).agg(
-        F.sum("amount").cast("decimal(12,2)").alias("tax"))
+    return amounts_of_pages(spark, d).select("file_id", "page", pages.tax_parts(F.col("amounts")).alias("tax"))
 
 
-@query("str6_split_lines", f"""SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page,
-      'CGST @ 9% ' || cgst AS first_part, 'SGST @ 9 %: ' || CAST(tax - cgst AS DECIMAL(12,2)) AS second_part
-    FROM {KNOWN} WHERE tax IS NOT NULL""")
+@query("str6_split_lines", f"""SELECT file_id, page, line_no, CASE line_no WHEN 6 THEN 2 ELSE 1 END AS parts,
+      CASE line_no WHEN 6 THEN 'CGST @ 9% ' || cgst ELSE text END AS first_part,
+      CASE line_no WHEN 6 THEN 'SGST @ 9 %: ' || sgst ELSE text END AS last_part FROM {PRINTED}""")
 def _(spark, d):
-    rows = printed.lines(spark, d).filter("line_no = 6")
-    parts = labels.split_labelled(F.col("text"))
-    return rows.select("file_id", F.col("page").cast("int").alias("page"),
-                       F.get(parts, F.lit(0)).alias("first_part"), F.get(parts, F.lit(1)).alias("second_part"))
+    rows = printed.lines(spark, d).withColumn("parts", labels.split_labelled(F.col("text")))
+    return rows.select("file_id", F.col("page").cast("int").alias("page"), "line_no", F.size("parts").alias("parts"),
+                       F.get("parts", F.lit(0)).alias("first_part"), F.element_at("parts", -1).alias("last_part"))
 
 
-@query("num3_amounts_in_lines", f"""SELECT CAST(file_id AS VARCHAR) AS file_id, seq AS page,
-      CAST(cgst AS DECIMAL(12,2)) AS first_amount, CAST(tax - cgst AS DECIMAL(12,2)) AS last_amount,
-      2 AS amounts FROM {KNOWN} WHERE tax IS NOT NULL""")
+@query("num3_amounts_in_lines", f"""SELECT file_id, page, line_no, CASE WHEN line_no IN (6, 9) THEN 2
+        WHEN line_no IN (1, 2, 5, 8) THEN 1 ELSE 0 END AS amounts,
+      CAST(CASE line_no WHEN 1 THEN CAST(regexp_extract(printed, '[0-9]+') AS DECIMAL(12,2)) WHEN 2 THEN 27 WHEN 5 THEN subtotal
+        WHEN 6 THEN cgst WHEN 8 THEN total WHEN 9 THEN 2 END AS DECIMAL(12,2)) AS first_amount,
+      CAST(CASE line_no WHEN 1 THEN CAST(regexp_extract(printed, '[0-9]+') AS DECIMAL(12,2)) WHEN 2 THEN 27 WHEN 5 THEN subtotal
+        WHEN 6 THEN sgst WHEN 8 THEN total WHEN 9 THEN 1 END AS DECIMAL(12,2)) AS last_amount FROM {PRINTED}""")
 def _(spark, d):
-    rows = printed.lines(spark, d).filter("line_no = 6").withColumn(
-        "found", money.amounts_in(F.col("text")))
-    return rows.select("file_id", F.col("page").cast("int").alias("page"),
+    rows = printed.lines(spark, d).withColumn("found", money.amounts_in(F.col("text")))
+    return rows.select("file_id", F.col("page").cast("int").alias("page"), "line_no", F.size("found").alias("amounts"),
                        F.get("found", F.lit(0)).alias("first_amount"),
-                       F.element_at("found", -1).alias("last_amount"), F.size("found").alias("amounts"))
+                       F.try_element_at("found", F.lit(-1)).alias("last_amount"))
 
 
 @query("num3_amounts_in_documents")
@@ -183,30 +195,22 @@ def _(spark, d):
 
 
 @query("join14_values_of_labels", f"""
-    SELECT CAST(id AS VARCHAR) AS file_id, x.label, CASE x.label WHEN 'bill no' THEN 'B-' || id
-      WHEN 'date' THEN strftime(receipt_date, '%d-%b-%Y') WHEN 'taxable value' THEN '₹ ' || subtotal
-      WHEN 'cgst' THEN CAST(cgst AS VARCHAR)
-      WHEN 'sgst' THEN CAST(CAST(tax - cgst AS DECIMAL(12,2)) AS VARCHAR)
-      WHEN 'total' THEN '7' END AS value
-    FROM {KNOWN}, (VALUES ('bill no'), ('date'), ('taxable value'), ('cgst'), ('sgst'), ('total')) AS x(label)
-    WHERE x.label <> 'taxable value' OR subtotal IS NOT NULL""")
+    SELECT CAST(id AS VARCHAR) AS file_id, x.label, CASE x.label WHEN 'tax' THEN 'INVOICE' WHEN 'net payable' THEN CAST(total AS VARCHAR)
+        WHEN 'cgst' THEN '@ 9%' WHEN 'sgst' THEN '@ 9%' ELSE '' END AS rest,
+      CASE x.label WHEN 'tax' THEN trim(regexp_replace(printed, '\\s+', ' ', 'g')) WHEN 'bill no' THEN 'B-' || id
+        WHEN 'date' THEN strftime(receipt_date, '%d-%b-%Y') WHEN 'taxable value' THEN '₹ ' || subtotal
+        WHEN 'cgst' THEN CAST(cgst AS VARCHAR) WHEN 'sgst' THEN CAST({SGST} AS VARCHAR) WHEN 'total' THEN '7' END AS value
+    FROM {WITH_NAMES}, (VALUES ('tax'), ('bill no'), ('date'), ('taxable value'), ('cgst'), ('sgst'), ('total'), ('net payable')) AS x(label)""")
 def _(spark, d):
-    near = grid.with_neighbours(grid.read_cells(printed.cells(spark, d)))
-    wanted = ["bill no", "date", "taxable value", "cgst", "sgst", "total"]
-    rows = near.filter(F.col("label.label").isin(*wanted) & (F.col("label.rest").isin("", "@ 9%")))
-    value = F.when(~F.col("label.label").isin("cgst", "sgst") | F.col("beside.is_number"), F.col("beside.text"))
-    label = F.col("label.label")
-    rows = rows.select("file_id", label.alias("label"), value.alias("value"))
-    return rows.filter("label <> 'taxable value' OR value LIKE '₹%'")
+    near = grid.with_neighbours(grid.read_cells(printed.cells(spark, d))).filter("label IS NOT NULL")
+    return near.select("file_id", "label.label", "label.rest", F.col("beside.text").alias("value"))
 
 
-@query("join22_header_columns", f"""SELECT CAST(id AS VARCHAR) AS file_id, x.col, x.name FROM {KNOWN},
-    (VALUES (0, 'description'), (1, 'quantity'), (3, 'amount')) AS x(col, name)""")
+@query("join22_header_columns", f"""SELECT CAST(id AS VARCHAR) AS file_id, x.row, x.col, x.name FROM {KNOWN},
+    (VALUES (6, 0, 'description'), (6, 1, 'quantity'), (6, 3, 'amount'), (14, 0, 'amount')) AS x(row, col, name)""")
 def _(spark, d):
-    rows = printed.cells(spark, d).filter("row = 6").withColumn(
-        "name", labels.header_column(F.col("value")))
-    first = rows.filter("name IS NOT NULL").groupBy("file_id", "name").agg(F.min("col").alias("col"))
-    return first.select("file_id", "col", "name")
+    cells = printed.cells(spark, d).withColumn("name", labels.header_column(F.col("value")))
+    return cells.filter("name IS NOT NULL").select("file_id", "row", "col", "name")
 
 
 @query("num6_field_confidence", f"""SELECT id, CAST(CAST(0.2 + 0.2 + CASE WHEN id % 5 = 0 THEN 0 ELSE 0.3 END
@@ -299,21 +303,22 @@ def _(spark, d):
                                           F.count("*").cast("int").alias("cells"))
 
 
-@query("src17_sheets_as_text", f"""SELECT CAST(id AS VARCHAR) AS file_id, 'TAX INVOICE' || chr(10)
-      || printed || chr(10) || 'Bill No. Date' || chr(10) || 'B-' || id || ' '
-      || strftime(receipt_date, '%d-%b-%Y') AS head
-    FROM (SELECT k.*, p.printed FROM {KNOWN} k JOIN receipts r ON r.id = k.id
-      JOIN printed_vendors p ON p.id = r.vendor_id)""")
+@query("src17_sheets_as_text", f"""SELECT CAST(id AS VARCHAR) AS file_id, concat_ws(chr(10), 'TAX INVOICE', printed, 'Bill No. Date',
+      'B-' || id || ' ' || strftime(receipt_date, '%d-%b-%Y'), 'Item Qty Amount', 'Goods 2 ' || total, 'only a heading',
+      'Carriage 0.50', 'Taxable Value' || coalesce(' ₹ ' || subtotal, ''), 'CGST @ 9%' || coalesce(' ' || cgst, ''),
+      'SGST @ 9%' || coalesce(' ' || {SGST}, ''), 'Total 7', 'Net Payable: ' || total) AS text FROM {WITH_NAMES}""")
 def _(spark, d):
-    top = printed.cells(spark, d).filter("row < 6")
-    return landing.sheet_texts(top).select("file_id", F.col("text").alias("head"))
+    return landing.sheet_texts(printed.cells(spark, d)).select("file_id", "text")
 
 
-@query("src17_rows_as_csv", f"""SELECT CAST(id AS VARCHAR) AS file_id, 'Shop,' || vendor AS line
-    FROM {KNOWN}""")
+@query("src17_rows_as_csv", f"""SELECT CAST(id AS VARCHAR) AS file_id, x.row, CASE x.row WHEN 0 THEN 'Shop,' || vendor
+      WHEN 1 THEN 'Bill No,C-' || id WHEN 2 THEN 'Date,' || receipt_date WHEN 3 THEN 'Note,"say ""hi"", twice"' WHEN 4 THEN ',,'
+      WHEN 5 THEN 'Item,Amount' WHEN 6 THEN 'Goods,' || quoted WHEN 8 THEN 'Total,' || quoted || ',' ELSE '' END AS line
+    FROM (SELECT *, CASE WHEN amount LIKE '%,%' THEN '"' || amount || '"' ELSE amount END AS quoted
+      FROM (SELECT *, format('{{:,}}', {WHOLE}) || '.' || lpad(CAST(CAST(total * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0') AS amount
+        FROM {KNOWN})), (SELECT CAST(unnest(range(10)) AS INT) AS row) x""")
 def _(spark, d):
-    cells = landing.csv_cells(csv_files(spark, d)).filter("row = 0")
-    return landing.csv_texts(cells).select("file_id", "line")
+    return landing.csv_texts(landing.csv_cells(csv_files(spark, d))).select("file_id", "row", "line")
 
 
 # --- words of a scan ----------------------------------------------------------------------------
@@ -369,14 +374,10 @@ def _(spark, d):
         "file_id", F.col("confidence").cast("decimal(4,3)").alias("confidence"))
 
 
-@query("agg19_texts_of_a_file", """SELECT CAST(file_id AS VARCHAR) AS file_id, count(*) AS receipts,
-    sum(length('GSTIN: 27ABCDE1234F1Z5')) + 2 * (count(*) - 1) AS characters FROM receipts GROUP BY 1""")
+@query("agg19_texts_of_a_file", f"""SELECT file_id, count(*) AS receipts, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text
+    FROM (SELECT file_id, page, string_agg(trim(text), chr(10) ORDER BY line_no) AS text FROM {PRINTED} GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, d):
-    texts = printed.lines(spark, d).filter("line_no = 2")
-    packed = F.array_sort(F.collect_list(F.struct("page", "text")))
-    joined = F.array_join(F.transform(packed, lambda x: x["text"]), "\n\n")
-    return texts.groupBy("file_id").agg(
-        F.count("*").alias("receipts"), F.length(joined).cast("bigint").alias("characters"))
+    return pages.texts_of_files(pages.read_receipts(printed.lines(spark, d)))
 
 
 @query("udf2_own_reader", f"""SELECT CAST(id AS VARCHAR) AS file_id, 'U-' || id AS receipt_number,
