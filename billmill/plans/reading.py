@@ -117,7 +117,7 @@ def _(spark, d):
 def amounts_of_pages(spark, d):
     """Pages with the labelled amounts of all their lines."""
     paged = pages.pages_of(pages.read_lines(printed.lines(spark, d)))
-    amounts = F.flatten(F.transform("lines", lambda x: x["amounts"]))
+    amounts = F.flatten(F.array_compact(F.transform("lines", lambda x: x["amounts"])))
     return paged.select("file_id", F.col("page").cast("int").alias("page"), amounts.alias("amounts"))
 
 
