@@ -31,46 +31,55 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def components_of_groups(
-    rows: DataFrame, verified: Callable[[DataFrame], DataFrame], may_link: str = "true"
+    rows: DataFrame,
+    verified: Callable[[DataFrame], DataFrame],
+    may_link: str = "true",
+    may_stay: str = "true",
+    known: DataFrame | None = None,
 ) -> DataFrame | None:
     """Components over all links between members of one group, where `rows` (token, rep, own,
     size) says which members a group has, and `verified` keeps the pairs (a, b) that link. Two
     members are compared if one that is no larger than the other owns the group, and if the
     condition `may_link` holds, which sees all columns of one and those of the other as pivot_*.
-    None if no two members share a group.
+    A member for which `may_stay` fails links with no member of its group, by the group's
+    smallest size, least_size; it leaves the group. `known` are links (a, b) to begin with. None
+    if there are no links.
 
-    Each round compares every group's first members (its pivots) with all others that are not
-    yet in their component, and takes the pivots out. Groups of one component are done. So each
-    pair that shares a group is compared or connected, but a group of copies costs one
+    Each round compares every group's first members by size (its pivots) with all others that
+    are not yet in their component, and takes the pivots out. Groups of one component are done.
+    So each pair that shares a group is compared or connected, but a group of copies costs one
     comparison each, not one for each pair. There are eight times as many pivots each round.
     """
-    found, tried, labels, pivots = None, None, None, FIRST_PIVOTS
+    found, tried, pivots = known, None, FIRST_PIVOTS
+    labels = None if known is None or known.isEmpty() else components(known)
     while True:
         now = rows.withColumn("component", F.col("rep")) if labels is None else (
             rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .withColumn("component", F.coalesce("component", "rep"))
         )
         several = now.groupBy("token").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("owned")
-        ).filter("low < high AND owned")
-        now = staged(now.join(several.select("token"), "token"), "open-groups")
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("owned"),
+            F.min("size").alias("least_size"),
+        ).filter("low < high AND owned")
+        now = now.join(several.select("token", "least_size"), "token").filter(may_stay).drop("least_size")
+        now = staged(now, "open-groups")
         if now.isEmpty():
             return labels
-        first = Window.partitionBy("token").orderBy("rep")
+        first = Window.partitionBy("token").orderBy("size", "rep")
         pivot = now.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= pivots)
         pivot = pivot.select("token", F.col("rep").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in now.columns if c not in ("token", "rep")))
         pairs = (
             now.join(pivot, "token")
-            .filter("pivot < rep AND pivot_component <> component")
-            .filter("(pivot_own AND pivot_size <= size) OR (own AND size <= pivot_size)")
+            .filter("(pivot_size < size OR (pivot_size = size AND pivot < rep)) AND pivot_component <> component")
+            .filter("pivot_own OR (own AND size <= pivot_size)")
             .filter(may_link)
-            .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+            .select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
             .distinct()
         )
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        done = pivot.select("token", F.col("pivot").alias("rep"))
-        rows = staged(now.drop("component").join(done, ["token", "rep"], "left_anti"), "rows")
+        done = pivot.select("token", F.col("pivot").alias("rep"), F.col("pivot_size").alias("size"))
+        rows = staged(now.drop("component").join(done, ["token", "rep", "size"], "left_anti"), "rows")
         new = staged(verified(pairs).select("a", "b"), "new-links")
         found = new if found is None else found.union(new)
         labels = components(found)

@@ -83,7 +83,7 @@ def _first_order(percent: int, words: int):
 
 
 def _all_tokens(percent: int, words: int):
-    """doc_id, need and all tokens: a link shares all but `spare` of them."""
+    """doc_id, a hash of the set, need and all tokens: a link shares all but `spare` of them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,13 +91,15 @@ def _all_tokens(percent: int, words: int):
                 sets = list(token_sets(block.column("text"), words))
                 sizes = np.array([len(s) for s in sets])
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                which = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id").cast(pa.int64()),
+                        pa.array(which),
                         pa.array((sizes - spare(sizes, percent)).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)),
                     ],
-                    names=["doc_id", "need", "tokens"],
+                    names=["doc_id", "which", "need", "tokens"],
                 )
 
     return read
@@ -123,7 +125,7 @@ def _verified(percent: int, words: int):
         last, last_set = None, None
         for batch in batches:
             for block in text_blocks(batch):
-                a = block.column("a").to_pylist()
+                a = list(zip(block.column("a").to_pylist(), block.column("which_a").to_pylist()))
                 kept = []
                 for i, other in enumerate(token_sets(block.column("text"), words)):
                     if a[i] != last:
@@ -161,12 +163,13 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     many of the texts left have a token, rarest first, and each set is known by as many of its
     first tokens as may be missing from a partner, and one more, within the part of its length
     and the next. With a partner no smaller than itself a set shares still more, so fewer tokens
-    can be the first that both have; those it owns. Sets that meet are compared by groups (see components_of_groups). Before the
-    count, the prefixes in two further orders must meet.
+    can be the first that both have; those it owns. Sets that meet are compared by groups (see
+    components_of_groups), if the tokens that each shares with any text are enough for sets of
+    their sizes. Before the count, the prefixes in two further orders must meet.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows
-    of one doc_id should have one text; if texts differ, all count for that id. A null doc_id
-    is never linked, and its component is null. An empty table gives no rows. Other columns
+    of one doc_id should have one text; if texts differ, all count for that id, and link what
+    they link with to each other. A null doc_id is never linked, and its component is null. An empty table gives no rows. Other columns
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -181,37 +184,49 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     met = shown.join(shared, "token").groupBy("doc_id", "need").count().filter(F.col("count") >= F.col("need"))
     met = staged(met.select("doc_id").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "met")
 
-    texts = _only(met, docs).join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = texts.mapInArrow(_all_tokens(percent, words), TOKENS)
-    held = held.select("doc_id", "need", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    texts = _only(met, docs).join(met, "doc_id", "left_semi")
+    held = texts.mapInArrow(_all_tokens(percent, words), "doc_id long, which long, need int, tokens array<long>")
+    held = held.dropDuplicates(["doc_id", "which"])
+    held = held.select("doc_id", "which", "need", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     shared = staged(held.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared-by-some")
     part = F.floor(F.log(F.col("need").cast("double")) / F.log(F.lit(105 / percent))).cast("int")
     more_needed = F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int")
     rows = (
         held.join(shared, "token")
-        .groupBy("doc_id", "need", "size")
+        .groupBy("doc_id", "which", "need", "size")
         .agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("tokens"))
         .filter(F.size("tokens") >= F.col("need"))
         .select(
             F.col("doc_id").alias("rep"),
             "size",
+            F.size("tokens").alias("shared"),
             part.alias("part"),
             (F.size("tokens") - more_needed + 1).alias("owned"),
             F.posexplode(F.slice("tokens.token", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("place", "token"),
         )
-        .select("rep", "size", (F.col("place") < F.col("owned")).alias("own"),
+        .select("rep", "size", "shared", (F.col("place") < F.col("owned")).alias("own"),
                 F.explode(F.array(F.xxhash64("token", "part"), F.xxhash64("token", F.col("part") + 1))).alias("token"))
     )
     rows = staged(rows, "rows")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = _only(ids, docs).dropDuplicates(["doc_id"])
-        sided = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b")
-        sided = sided.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return sided.select("a", "b", "text", "text_a").mapInArrow(_verified(percent, words), "a long, b long")
-
-    labels = components_of_groups(rows, verified)
+        texts = _only(ids, docs).withColumn("which", F.xxhash64("text")).dropDuplicates(["doc_id", "which"])
+        sided = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+        sided = sided.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("which").alias("which_a")), "a")
+        return sided.select("a", "which_a", "b", "text", "text_a").mapInArrow(_verified(percent, words), "a long, b long")
+
+    # Sets of one id, where it has several, are linked by it.
+    named = whole.join(firsts, digest).select("doc_id", "rep")
+    lowest = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).filter("a < high")
+    same_id = staged(named.join(lowest, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct(), "links-of-ids")
+    labels = components_of_groups(
+        rows,
+        verified,
+        may_link=f"least(shared, pivot_shared) * {100 + percent} >= {percent} * (size + pivot_size)",
+        may_stay=f"shared * {100 + percent} >= {percent} * (size + least_size)",
+        known=same_id,
+    )
     merged = firsts if labels is None else (
         firsts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     )

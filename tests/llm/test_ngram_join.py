@@ -112,3 +112,27 @@ def test_long_texts_are_worked_off_in_steps(monkeypatch):
     monkeypatch.setattr("billmill.llm.words._STEP", 16)
     pieces = hashed_words(pa.array([text, "ab"]))
     assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
+
+
+def test_one_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(["x", *words[k + 1 : k + 20]])
+    rows = [(1, " ".join(words[:20])), (7, near(0)), (2, " ".join(words[30:50])), (7, near(30)), (7, near(30)), (9, "alone here"),
+            (3, "one two three"), (5, "one two three"), (4, "four five"), (5, "four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert found == {1: 1, 2: 1, 7: 1, 9: 9, 3: 3, 5: 3, 4: 3}
+
+
+def test_near_copies_too_far_apart(spark):
+    """Copies that share most of one text but link with few others."""
+    source = random.Random(8)
+    base = [f"w{source.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(source.choice([1, 3, 4, 5, 8])):
+            words[source.randrange(150)] = source.choice(base)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.join(docs)) == brute(rows)
