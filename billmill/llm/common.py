@@ -1,8 +1,11 @@
 """Tables, written stages and block-wise reading shared by the operators of this folder."""
 
+import pickle
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,20 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+class Shared:
+    """A value sent to all tasks with the code of its classes, so that executors need no copy of
+    this package. The caller knows a bound for its size."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.packed, self.opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self) -> Any:
+        if self.opened is None:
+            self.opened = (pickle.loads(self.packed.value),)
+        return self.opened[0]
+
+
 def split_of(doc_id: Column, parts: int) -> Column:
     """The fold of a document: crc32 of its id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

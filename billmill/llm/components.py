@@ -36,6 +36,7 @@ def components_of_groups(
     may_link: str = "true",
     may_stay: str = "true",
     known: DataFrame | None = None,
+    central: tuple[str, ...] = ("rep",),
 ) -> DataFrame | None:
     """Components over all links between members of one group, where `rows` (token, rep, own,
     size) says which members a group has, and `verified` keeps the pairs (a, b) that link. Two
@@ -45,7 +46,7 @@ def components_of_groups(
     smallest size, least_size; it leaves the group. `known` are links (a, b) to begin with. None
     if there are no links.
 
-    Each round compares every group's first members by size (its pivots) with all others that
+    Each round compares every group's first members by `central` (its pivots) with all others that
     are not yet in their component, and takes the pivots out. Groups of one component are done.
     So each pair that shares a group is compared or connected, but a group of copies costs one
     comparison each, not one for each pair. There are eight times as many pivots each round.
@@ -65,13 +66,13 @@ def components_of_groups(
         now = staged(now, "open-groups")
         if now.isEmpty():
             return labels
-        first = Window.partitionBy("token").orderBy("size", "rep")
+        first = Window.partitionBy("token").orderBy(*map(F.expr, central), "rep")
         pivot = now.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= pivots)
         pivot = pivot.select("token", F.col("rep").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in now.columns if c not in ("token", "rep")))
         pairs = (
             now.join(pivot, "token")
-            .filter("(pivot_size < size OR (pivot_size = size AND pivot < rep)) AND pivot_component <> component")
-            .filter("pivot_own OR (own AND size <= pivot_size)")
+            .filter("pivot <> rep AND pivot_component <> component")
+            .filter("(pivot_own AND pivot_size <= size) OR (own AND size <= pivot_size)")
             .filter(may_link)
             .select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
             .distinct()

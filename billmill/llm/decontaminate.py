@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billmill.llm.common import text_blocks
+from billmill.llm.common import Shared, text_blocks
 from billmill.llm.words import hashed_words, shingles
 
 K1, B = 1.2, 0.75
@@ -270,7 +270,7 @@ def matched(
         whole.items_of = dict(Counter({r.word & (2**64 - 1): r["items"] for r in ask.toLocalIterator()}))
         listed = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own.orderBy("item_id", "words").toLocalIterator()]
         indexes = [Index(listed[i : i + ITEMS_PER_INDEX], whole, threshold, near) for i in range(0, len(listed), ITEMS_PER_INDEX)]
-        rows = _pass(rows, spark.sparkContext.broadcast(indexes), stride, threshold, overlap)
+        rows = _pass(rows, Shared(spark, indexes), stride, threshold, overlap)
     return rows.select("row", F.array_sort("leaks").alias("leaks"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billmill.llm.common import text_blocks
+from billmill.llm.common import Shared, text_blocks
 
 SAMPLE_PER_LANGUAGE = 200
 LANDMARKS_PER_LANGUAGE = 40
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     is `und` with score 0, and so is every text where nothing could be learned. Repeated rows
     get equal predictions.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     rows = docs.select(F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"), F.col("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,6 +226,7 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
         may_link=f"least(shared, pivot_shared) * {100 + percent} >= {percent} * (size + pivot_size)",
         may_stay=f"shared * {100 + percent} >= {percent} * (size + least_size)",
         known=same_id,
+        central=("size - shared",),  # the fewest tokens of its own: what the others were made from
     )
     merged = firsts if labels is None else (
         firsts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))

@@ -36,17 +36,17 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
         "_places",
         lambda p, j: F.when(
             F.get("_words", p).isin(*ANCHORS) & (p - j < F.size("_content")),
-            F.hash(F.get("_words", p), F.array_join(F.slice("_content", p - j + 1, F.lit(CHAIN)), " ")),
+            F.xxhash64(F.get("_words", p), F.array_join(F.slice("_content", p - j + 1, F.lit(CHAIN)), " ")),
         ),
     )
     found = lists.withColumn(name, F.array_sort(F.array_distinct(F.array_compact(spots))))
-    alone = F.when(F.regexp_like(whole, F.lit("\\S")), F.array(F.hash(whole))).otherwise(F.array().cast("array<int>"))
+    alone = F.when(F.regexp_like(whole, F.lit("\\S")), F.array(F.xxhash64(whole))).otherwise(F.array().cast("array<bigint>"))
     return found.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(alone)).drop("_words", "_content", "_places")
 
 
 def printed(signature_set: Column) -> Column:
     """A set as text: its members as hexadecimal numbers, in order."""
-    return F.array_join(F.transform(signature_set, lambda s: F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), " ")
+    return F.array_join(F.transform(signature_set, F.hex), " ")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -67,6 +67,21 @@ def length_part(size: Column, threshold: float) -> Column:
     return F.when(size > 0, F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)).otherwise(F.lit(-1)).cast("int")
 
 
+def _place(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the value, found by halving in a loop over a
+    constant array; all for a null."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, more: Column) -> Column:
+        reached = F.coalesce(F.get(listed, at + more - 1) <= value, F.lit(True))
+        return F.when((at + more <= len(bounds)) & reached, at + more).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def followed(docs: DataFrame) -> DataFrame:
     """doc_id and text of every row with `next_text`, that of the next row in order of doc_id
     (nulls last, then by text); the last row is followed by the first.
@@ -80,10 +95,7 @@ def followed(docs: DataFrame) -> DataFrame:
     shares = [k / cells for k in range(1, cells)]
     bounds = docs.agg(F.percentile_approx("doc_id", shares or [0.5], 10 * MOST_CELLS)).first()[0] or []
     bounds = sorted(set(bounds)) if shares else []
-    cell = F.lit(0)
-    for bit in reversed([1 << k for k in range(len(bounds).bit_length())]):  # binary search
-        cell = F.when(F.coalesce(F.get(F.array(*map(F.lit, bounds)), cell + (bit - 1)) <= F.col("doc_id"), F.col("doc_id").isNull())
-                      & (cell + bit <= len(bounds)), cell + bit).otherwise(cell) if bounds else cell
+    cell = _place(F.col("doc_id"), bounds)
     rows = docs.withColumn("cell", cell.cast("int")).withColumn("last", F.lit(False))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text")
     firsts = rows.groupBy("cell").agg(F.min_by("text", order).alias("text"))

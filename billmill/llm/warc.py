@@ -24,6 +24,8 @@ ENTRY = (
 ORDER = ["url_key", "captured", "page_id"]
 MERGED = ENTRY + ", merge_range int, merge_position long"
 
+NO_TIME = "1970-01-01T00:00:00Z"
+
 
 def _headers(*lines: Column | str) -> Column:
     return F.concat(*(part for line in lines for part in (line if isinstance(line, Column) else F.lit(line), F.lit("\r\n"))))
@@ -36,7 +38,7 @@ def write_captures(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     empty payload. Records end with two line ends, which is the separator Spark's text writer
     puts after each row; so the files are whole WARC files, are committed task by task, and
     can lie in any store Spark writes to. Line ends in a url are written as %0A and %0D. A
-    null url has no target header, a null page_id the id `none`.
+    null url has no target header, a null page_id the id `none`, a null time the date NO_TIME.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     http = F.concat(
@@ -49,7 +51,7 @@ def write_captures(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     record = F.concat(
         _headers("WARC/1.0", "WARC-Type: response"),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">\r\n")),
-        F.concat(F.lit("WARC-Date: "), F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\r\n")),
+        F.concat(F.lit("WARC-Date: "), F.coalesce(F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(NO_TIME)), F.lit("\r\n")),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n")), F.lit("")),
         _headers("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END)),

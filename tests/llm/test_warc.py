@@ -42,6 +42,15 @@ def test_odd_rows(spark):
     assert said == sorted((i, len((h or "").encode()), digest(h), kind, to) for i, h, kind, to in want)
 
 
+def test_query_with_null_ids(spark, tmp_path):
+    rows = [(2, "b.com/", "xy"), (None, "a.com/", "xy"), (None, None, None), (1, "b.com/", "xy")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op3_warc_index_merge"](spark, str(tmp_path)).collect()
+    said = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0) for r in got)
+    assert said == [(0, 0, digest(""), "response", 0), (0, 2, digest("xy"), "revisit", 1), (1, 2, digest("xy"), "response", 0),
+                    (2, 2, digest("xy"), "revisit", 1)]
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(i, "a.com/", "xy", TIME) for i in range(3)], "page_id long, url string, html string, captured timestamp")
     assert {r.record_type for r in warc.archive(pages, min_bytes=3).collect()} == {"response"}
