@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from billmill.functions import text
 from billmill.model import BUSY, MAX_FILES_PER_BATCH, MAX_UPLOAD_BYTES
 from billmill.operators.skew import first_per_key, numbered, with_lookup
+from billmill.session import cut
 
 
 def normalized_names(vendors: DataFrame) -> DataFrame:
@@ -58,11 +59,20 @@ def register(
     max_bytes: int = MAX_UPLOAD_BYTES,
     max_files: int = MAX_FILES_PER_BATCH,
 ) -> DataFrame:
-    """Decide every upload (id, batch_id, name, size_bytes, sha256, confirmed) in one pass:
-    `outcome` is registered, duplicate, too_large, bad_type or batch_full.
+    """Decide every upload (id, batch_id, name, size_bytes, sha256, confirmed), as if they came
+    one after the other by id: `outcome` is registered, duplicate, too_large, bad_type or
+    batch_full. A full batch is answered before a duplicate, and only a stored file makes later
+    copies duplicates: the copy of a refused upload is a first one.
 
     Registered ones get a reference number, a storage path and the earliest file with the
     same bytes. `existing` holds (id, sha256, batch_id) of files already there.
+
+    Which file of some bytes is stored first depends on which batches are full, and the other
+    way round. Both are settled by rounds: the first stored file of each hash gives the
+    duplicates, what is left fills the batches, and that gives the first stored files anew,
+    until none changes. What an upload depends on came before it, so the rounds end, and with
+    the one answer there is. Each round is two aggregations and a rank limit, so no hash or
+    batch gathers its uploads in one task.
     """
     ext = text.extension_of(F.col("name"))
     checked = uploads.withColumn("ext", ext).withColumn(
@@ -70,40 +80,50 @@ def register(
         F.when(F.col("size_bytes") > max_bytes, "too_large").when(F.col("ext").isNull(), "bad_type"),
     )
     refused = checked.filter(F.col("_refused").isNotNull())
-    sound = checked.filter(F.col("_refused").isNull())
-
     stored = existing.groupBy("sha256").agg(F.min("id").alias("_stored"))
-    firsts = sound.groupBy("sha256").agg(F.min("id").alias("_first"))
-    seen = sound.join(stored, "sha256", "left").join(firsts, "sha256", "left")
-    earlier = F.when(F.col("id") > F.col("_first"), F.col("_first"))
-    seen = seen.withColumn("duplicate_of_id", F.coalesce("_stored", earlier))
-    repeats = seen.filter(F.col("duplicate_of_id").isNotNull() & ~F.col("confirmed"))
-    wanted = seen.filter(F.col("duplicate_of_id").isNull() | F.col("confirmed"))
-
     taken = existing.groupBy("batch_id").agg(F.count("*").alias("_taken"))
-    placed = numbered(wanted, ["batch_id"], ["id"], "_place").join(taken, "batch_id", "left")
-    room = F.col("_place") + F.coalesce("_taken", F.lit(0)) <= max_files
-    fitting = placed.filter(room)
+    sound = checked.filter(F.col("_refused").isNull()).join(stored, "sha256", "left").join(taken, "batch_id", "left")
+    sound = cut(sound.withColumn("_taken", F.coalesce("_taken", F.lit(0))))
+
+    firsts = cut(sound.groupBy("sha256").agg(F.min("id").alias("_first")))
+    while True:
+        decided = _decided(sound, firsts, max_files)
+        kept = decided.filter("outcome = 'registered'").groupBy("sha256").agg(F.min("id").alias("_first"))
+        kept = cut(kept)
+        changed = kept.join(firsts, ["sha256", "_first"], "left_anti").isEmpty() and (
+            firsts.join(kept, ["sha256", "_first"], "left_anti").isEmpty()
+        )
+        firsts = kept
+        if changed:
+            break
+    is_registered = F.col("outcome") == "registered"
     numbers = F.col("id") + F.lit(first_number)
     path = F.concat(F.substring("sha256", 1, 2), F.lit("/"), "sha256", F.lit("."), "ext")
-    registered = fitting.select(
-        "id", "batch_id", F.lit("registered").alias("outcome"), "duplicate_of_id",
-        text.ref_no(numbers, F.lit(year)).alias("ref_no"), path.alias("storage_path"),
+    answered = decided.select(
+        "id", "batch_id", "outcome", "duplicate_of_id",
+        F.when(is_registered, text.ref_no(numbers, F.lit(year))).alias("ref_no"),
+        F.when(is_registered, path).alias("storage_path"),
     )
+    blank = F.lit(None).cast("string")
+    return answered.unionByName(refused.select(
+        "id", "batch_id", F.col("_refused").alias("outcome"), F.lit(None).cast("bigint").alias("duplicate_of_id"),
+        blank.alias("ref_no"), blank.alias("storage_path"),
+    ))
 
-    def others(df: DataFrame, outcome: Column, duplicate_of: Column) -> DataFrame:
-        blank = F.lit(None).cast("string")
-        return df.select(
-            "id", "batch_id", outcome.alias("outcome"), duplicate_of.alias("duplicate_of_id"),
-            blank.alias("ref_no"), blank.alias("storage_path"),
-        )
-
-    nothing = F.lit(None).cast("bigint")
-    return (
-        registered.unionByName(others(refused, F.col("_refused"), nothing))
-        .unionByName(others(repeats, F.lit("duplicate"), F.col("duplicate_of_id")))
-        .unionByName(others(placed.filter(~room), F.lit("batch_full"), nothing))
-    )
+
+def _decided(sound: DataFrame, firsts: DataFrame, max_files: int) -> DataFrame:
+    """Outcome and duplicate_of_id of sound uploads, given the first stored file of each hash."""
+    seen = sound.join(firsts, "sha256", "left")
+    earlier = F.when(F.col("id") > F.col("_first"), F.col("_first"))
+    seen = seen.withColumn("_original", F.coalesce("_stored", earlier))
+    is_copy = F.col("_original").isNotNull() & ~F.col("confirmed")
+    wanted = seen.filter(~is_copy & (F.col("_taken") < max_files)).select("batch_id", "id", "_taken")
+    filling = first_per_key(wanted, ["batch_id"], ["id"], how_many=max_files, rank="_place")
+    last = filling.filter(F.col("_place") == max_files - F.col("_taken")).select("batch_id", F.col("id").alias("_last"))
+    full = (F.col("_taken") >= max_files) | F.coalesce(F.col("id") > F.col("_last"), F.lit(False))
+    outcome = F.when(full, "batch_full").when(is_copy, "duplicate").otherwise("registered")
+    decided = seen.join(last, "batch_id", "left").withColumn("outcome", outcome)
+    return decided.withColumn("duplicate_of_id", F.when(~full, F.col("_original")))
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -68,26 +68,33 @@ def _(spark, d):
         "id", ref.alias("ref_no"), text.receipt_ref_no(ref, F.lit(2)).alias("second_receipt"))
 
 
+# The first stored file of each hash, and what that makes of the uploads, settled by rounds.
+def _round(n):
+    return f"""seen{n} AS (SELECT s.*, coalesce(stored, CASE WHEN s.id > f.first THEN f.first END) AS original,
+        coalesce(stored, CASE WHEN s.id > f.first THEN f.first END) IS NOT NULL AND NOT confirmed AS is_copy
+      FROM sound s LEFT JOIN first{n} f ON f.sha256 = s.sha256),
+    last{n} AS (SELECT batch_id, id AS last FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS place
+      FROM seen{n} WHERE NOT is_copy AND taken < 12) WHERE place = 12 - taken),
+    out{n} AS (SELECT s.*, CASE WHEN taken >= 12 OR coalesce(s.id > last, false) THEN 'batch_full' WHEN is_copy THEN 'duplicate'
+      ELSE 'registered' END AS outcome FROM seen{n} s LEFT JOIN last{n} l ON l.batch_id = s.batch_id),
+    first{n + 1} AS (SELECT sha256, min(id) AS first FROM out{n} WHERE outcome = 'registered' GROUP BY 1)"""
+
+
+ROUNDS = 6
+
+
 @query("job4_register_uploads", f"""
     WITH u AS (SELECT * FROM {UPLOADS}), existing AS (SELECT id + 100000 AS id, sha256,
         batch_id + 1 AS batch_id FROM u WHERE id % 30 = 7),
-    sound AS (SELECT *, lower(regexp_extract(name, '[^.]*$')) AS ext FROM u
+    sound AS (SELECT u.*, lower(regexp_extract(name, '[^.]*$')) AS ext, e.stored, coalesce(t.taken, 0) AS taken
+      FROM u LEFT JOIN (SELECT sha256, min(id) AS stored FROM existing GROUP BY 1) e ON e.sha256 = u.sha256
+        LEFT JOIN (SELECT batch_id, count(*) AS taken FROM existing GROUP BY 1) t ON t.batch_id = u.batch_id
       WHERE size_bytes <= 9000 AND name NOT LIKE '%.exe'),
-    seen AS (SELECT s.*, coalesce(e.stored, CASE WHEN s.id > min(s.id) OVER (PARTITION BY s.sha256)
-        THEN min(s.id) OVER (PARTITION BY s.sha256) END) AS original
-      FROM sound s LEFT JOIN (SELECT sha256, min(id) AS stored FROM existing GROUP BY 1) e
-        ON e.sha256 = s.sha256),
-    placed AS (SELECT s.*, row_number() OVER (PARTITION BY s.batch_id ORDER BY s.id)
-        + coalesce(t.n, 0) AS place FROM seen s
-      LEFT JOIN (SELECT batch_id, count(*) AS n FROM existing GROUP BY 1) t
-        ON t.batch_id = s.batch_id WHERE s.original IS NULL OR s.confirmed)
-    SELECT id, batch_id, CASE WHEN place <= 12 THEN 'registered' ELSE 'batch_full' END AS outcome,
-      CASE WHEN place <= 12 THEN original END AS duplicate_of_id,
-      CASE WHEN place <= 12 THEN 'REF-2001-' || lpad(CAST(id + 1000 AS VARCHAR), 6, '0') END AS ref_no,
-      CASE WHEN place <= 12 THEN substr(sha256, 1, 2) || '/' || sha256 || '.' || ext END AS storage_path
-    FROM placed
-    UNION ALL SELECT id, batch_id, 'duplicate', original, NULL, NULL FROM seen
-      WHERE original IS NOT NULL AND NOT confirmed
+    first0 AS (SELECT sha256, min(id) AS first FROM sound GROUP BY 1), {', '.join(map(_round, range(ROUNDS)))}
+    SELECT id, batch_id, outcome, CASE WHEN outcome <> 'batch_full' THEN original END AS duplicate_of_id,
+      CASE WHEN outcome = 'registered' THEN 'REF-2001-' || lpad(CAST(id + 1000 AS VARCHAR), 6, '0') END AS ref_no,
+      CASE WHEN outcome = 'registered' THEN substr(sha256, 1, 2) || '/' || sha256 || '.' || ext END AS storage_path
+    FROM out{ROUNDS - 1}
     UNION ALL SELECT id, batch_id, CASE WHEN size_bytes > 9000 THEN 'too_large' ELSE 'bad_type' END,
       NULL, NULL, NULL FROM u WHERE size_bytes > 9000 OR name LIKE '%.exe'""")
 def _(spark, d):
