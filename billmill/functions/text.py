@@ -1,7 +1,9 @@
 """Text columns: tidying, labels as printed, file names. Null in, null out."""
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,3 +154,13 @@ def source_text(first_page: Column, last_page: Column) -> Column:
     return F.when(first_page == last_page, F.concat(F.lit("page "), first)).otherwise(
         F.concat(F.lit("pages "), first, F.lit("-"), last)
     )
+
+
+def _nfc(names: pd.Series) -> pd.Series:
+    return names.map(lambda name: None if name is None else unicodedata.normalize("NFC", name).strip())
+
+
+def composed(value: Column) -> Column:
+    """The Unicode normal form C without white space around it; null stays null. Spark has no
+    function for it, so this runs in Python, a batch at a time."""
+    return F.pandas_udf(_nfc, "string")(value)

@@ -8,9 +8,6 @@ from billmill.functions.text import normalize_label
 from billmill.model import LEARNED_FIELDS, SHARED_LABEL_VENDORS
 from billmill.operators.registry import insert_if_absent, vendor_key
 
-FIRST_RUN = r"^[\p{L}\p{N}]*"
-
-
 def by_field(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
     """subtotal, tax and total as rows (field, amount); null ones are left out."""
     pairs = ", ".join(f"'{f}', {f}" for f in LEARNED_FIELDS)
@@ -77,15 +74,21 @@ def wanting(receipts: DataFrame) -> DataFrame:
     return receipts.filter((F.coalesce("text", F.lit("")) != "") & gap)
 
 
-def first_run(text: Column) -> Column:
-    """The letters and digits a label starts with: what a text and its label must share."""
-    return F.regexp_extract(text, FIRST_RUN, 0)
+def starts_of(plain: Column, longest: int) -> Column:
+    """The starts of a text, up to a length, that a label can be: what follows is no letter or
+    digit."""
+    ends = F.sequence(F.lit(1), F.least(F.length(plain), F.lit(longest)))
+    after = lambda n: F.substring(plain, n + 1, F.lit(1))
+    return F.array_compact(
+        F.transform(ends, lambda n: F.when(~after(n).rlike(r"[\p{L}\p{N}]"), F.substring(plain, F.lit(1), n)))
+    )
 
 
 def matches(receipts: DataFrame, known: DataFrame, vendors: DataFrame) -> DataFrame:
     """(id, vendor_key, field, label, amount): the first line of each gap's field that starts
-    with a learned label and holds an amount. Labels meet texts by the letters they start
-    with, so this is a hash join on (vendor,) first word, then an exact test."""
+    with a learned label and holds an amount. Each line is known by the few starts of it that
+    a label can be, and meets labels by equality on the whole label, so a first word that many
+    labels share brings no rows together; of the labels that fit the longest counts."""
     keyed = vendor_key(wanting(receipts), "vendor", vendors)
     gaps = F.filter(
         F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in LEARNED_FIELDS]),
@@ -93,15 +96,15 @@ def matches(receipts: DataFrame, known: DataFrame, vendors: DataFrame) -> DataFr
     )
     parts = parts_of(keyed.withColumn("_gaps", gaps), ["id", "vendor_key", "_gaps", "text"])
     parts = parts.drop("text").withColumn("_plain", normalize_label(F.col("part")))
-    parts = parts.withColumn("_run", first_run(F.col("_plain"))).filter(F.col("part").rlike("[0-9]"))
-    words = known.select("vendor_key", "field", "label").distinct().withColumn("_run", first_run(F.col("label")))
-    shared = shared_labels(known).select("field", "label", first_run(F.col("label")).alias("_run"))
-    both = parts.join(words, ["vendor_key", "_run"]).unionByName(
-        parts.join(shared, "_run").select(*parts.columns, "field", "label")
+    parts = parts.filter(F.col("part").rlike("[0-9]") & (F.col("_plain") != ""))
+    longest = known.agg(F.max(F.length("label"))).first()[0] or 1  # one number
+    parts = parts.withColumn("label", F.explode(starts_of(F.col("_plain"), longest)))
+    words = known.select("vendor_key", "field", "label").distinct()
+    shared = shared_labels(known).select("field", "label")
+    both = parts.join(words, ["vendor_key", "label"]).select(*parts.columns, "field").unionByName(
+        parts.join(shared, "label").select(*parts.columns, "field")
     )
-    after = F.substring(F.col("_plain"), F.length("label") + 1, F.lit(1))
-    fits = F.startswith("_plain", "label") & ~after.rlike(r"[\p{L}\p{N}]")
-    fitting = both.filter(F.array_contains("_gaps", F.col("field")) & fits)
+    fitting = both.filter(F.array_contains("_gaps", F.col("field")))
     rank = F.struct(
         -F.length("label"),
         F.array_position(F.array(*[F.lit(f) for f in LEARNED_FIELDS]), F.col("field")),

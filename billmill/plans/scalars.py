@@ -1,8 +1,5 @@
 """Named queries: the column functions over the test tables."""
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from billmill.functions import dates, labels, money, sqlnames, text
@@ -70,10 +67,6 @@ def _(spark, d):
     return orders(spark, d, text.tidy_ocr(raw).alias("line"))
 
 
-def _nfc_series(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).strip())
-
-
 @query("str11_display_names", r"""SELECT doc_id, CASE WHEN problem IS NULL THEN CASE WHEN length(name) > 255
       THEN substr(name, 1, 251) || '.pdf' ELSE name END END AS name, problem FROM (SELECT doc_id, name,
       CASE WHEN regexp_matches(name, '[/\\\\]') THEN 'File names cannot contain / or \.'
@@ -81,8 +74,7 @@ def _nfc_series(names: pd.Series) -> pd.Series:
     FROM (SELECT doc_id, regexp_replace(nfc_normalize(text || '.pdf'), '^[\s\x0b\x{a0}]+', '') AS name FROM documents))""")
 def _(spark, d):
     raw = F.concat("text", F.lit(".pdf"))
-    nfc = F.pandas_udf(_nfc_series, "string")
-    rows = docs(spark, d).select("doc_id", nfc(raw).alias("name"))
+    rows = docs(spark, d).select("doc_id", text.composed(raw).alias("name"))
     problem = text.name_problem(F.col("name"))
     return rows.select("doc_id", F.when(problem.isNull(), text.cut_name(F.col("name"))).alias("name"),
                        problem.alias("problem"))

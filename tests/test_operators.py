@@ -297,3 +297,12 @@ def test_tries_do_not_depend_on_the_order_or_chunks_of_events():
             chunks = (order.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(order), size))
             status, at, ok, failed = jobs.tried(chunks, "", 0, -1, [])
             assert (status, at, ok, sum(t > ok for t in failed)) == ("failed", ms(5), ms(1), 2)
+
+
+def test_starts_that_can_be_labels(spark):
+    from billmill.operators import learning
+
+    rows = [("grand total: 5 rs",), ("a-b c",), ("x",), ("änd 1",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(learning.starts_of(F.col("t"), 13)).collect()]
+    assert got == [["grand", "grand total", "grand total:", "grand total: "][:3], ["a", "a-b", "a-b c"], ["x"], ["änd", "änd 1"]]
