@@ -1,10 +1,14 @@
 """Readers against each other and against confirmed answers; corrections; second reads."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billmill.functions import dates, text
-from billmill.model import LOCAL_ZONE
+from billmill.model import BUSY, LOCAL_ZONE
+from billmill.operators import checks
+from billmill.operators.files import resolve
 from billmill.operators.skew import first_per_key, numbered
 
 COMPARED = {"vendor": "vendor", "receipt_date": "date", "total": "total"}
@@ -246,6 +250,78 @@ def overlay_runs(runs: DataFrame, corrections: DataFrame, now: Column) -> DataFr
     return kept.unionByName(manual, allowMissingColumns=True)
 
 
+def refused_corrections(corrections: DataFrame, files: DataFrame, categories: DataFrame) -> DataFrame:
+    """(file_id, reason) of files whose correction can't be taken: unknown, still being read, or
+    with a receipt in an unknown category. One bad receipt refuses its file."""
+    known = categories.select(F.col("id").alias("category_override_id"), F.lit(True).alias("_known"))
+    asked = corrections.join(known, "category_override_id", "left")
+    bad = F.col("category_override_id").isNotNull() & F.col("_known").isNull()
+    per_file = asked.groupBy("file_id").agg(F.bool_or(bad).alias("_bad"))
+    there = files.select(F.col("id").alias("file_id"), "status")
+    reason = (
+        F.when(F.col("status").isNull(), "unknown_file")
+        .when(F.col("status").isin(*BUSY), "busy")
+        .when(F.col("_bad"), "unknown_category")
+    )
+    judged = per_file.join(there, "file_id", "left").select("file_id", reason.alias("reason"))
+    return judged.filter(F.col("reason").isNotNull())
+
+
+def resolve_flags(flags: DataFrame, problems: DataFrame, touched: DataFrame, user: str, now: Column):
+    """Open flags of the touched files are closed by the person; what the checks find in the
+    corrected receipts is kept beside them, closed as well: the person has seen it. New flags
+    have no id yet."""
+    kept = resolve(flags, touched.select("file_id", F.lit(user).alias("person")), "file_id", now)
+    seen = checks.to_flags(problems).withColumns(
+        {"resolved": F.lit(True), "resolved_by": F.lit(user), "resolved_at": now}
+    )
+    return kept.unionByName(seen, allowMissingColumns=True)
+
+
+def resolve_files(files: DataFrame, touched: DataFrame, now: Column) -> DataFrame:
+    """Corrected files are resolved, without an error, as of now."""
+    marked = files.join(touched.select(F.col("file_id").alias("id"), F.lit(True).alias("_hit")), "id", "left")
+    hit = F.col("_hit").isNotNull()
+    return marked.withColumns({
+        "status": F.when(hit, "resolved").otherwise(F.col("status")),
+        "error": F.when(~hit, F.col("error")),
+        "status_changed_at": F.when(hit, now).otherwise(F.col("status_changed_at")),
+    }).select(files.columns)
+
+
+def correct(
+    corrections: DataFrame,
+    tables: dict[str, DataFrame],
+    named: Callable[[DataFrame, DataFrame], DataFrame],
+    *, user: str, now: Column, today: Column,
+) -> dict[str, DataFrame]:
+    """The tables after a person's corrections, as one change: corrected receipts replace the
+    file's, their manual run is the accepted one, the file is resolved, its open flags are closed,
+    and the checks run again over the corrected receipts, their findings closed at once. Files
+    whose correction is refused keep everything; they are listed in `refused`.
+
+    `tables` holds receipts, runs, flags, files and categories as they are, and `named` gives
+    receipts what the checks ask for (vendor, normalized_name, status, items_total, items) from
+    the files beside them. Duplicates are looked for among all receipts after the change. Write
+    the results table by table; each of them can be written again when a job is repeated.
+    """
+    refused = refused_corrections(corrections, tables["files"], tables["categories"])
+    taken = corrections.join(refused, "file_id", "left_anti")
+    touched = taken.select("file_id").distinct()
+    receipts = overlay(tables["receipts"], taken)
+    files = resolve_files(tables["files"], touched, now)
+    problems = checks.check_receipts(
+        named(taken, files), today=today, stored=named(receipts, files), symmetric=True
+    )
+    return {
+        "receipts": receipts,
+        "runs": overlay_runs(tables["runs"], taken, now),
+        "flags": resolve_flags(tables["flags"], problems, touched, user, now),
+        "files": files,
+        "refused": refused,
+    }
+
+
 # --- against confirmed answers ----------------------------------------------------------------
 
 

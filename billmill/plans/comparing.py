@@ -220,6 +220,91 @@ def _(spark, d):
         "id", "file_id", "parser", "accepted")
 
 
+# A person's corrections of one change: every ninth file, some of them busy, some with a receipt in
+# an unknown category.
+EDITS = """(SELECT * REPLACE (CAST(total + CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS DECIMAL(12,2)) AS total,
+    CASE WHEN id % 29 = 0 THEN 99 ELSE category_override_id END AS category_override_id)
+    FROM receipts_with_copies WHERE file_id % 9 = 4)"""
+REFUSED = f"""(SELECT e.file_id, CASE WHEN any_value(f.status) IS NULL THEN 'unknown_file'
+      WHEN any_value(f.status) IN ('processing', 'ai_processing') THEN 'busy'
+      WHEN count(*) FILTER (e.category_override_id = 99) > 0 THEN 'unknown_category' END AS reason
+    FROM {EDITS} e LEFT JOIN files f ON f.id = e.file_id GROUP BY 1)"""
+TAKEN = f"(SELECT * FROM {EDITS} WHERE file_id IN (SELECT file_id FROM {REFUSED} WHERE reason IS NULL))"
+AFTER = f"""(SELECT * FROM receipts_with_copies WHERE file_id NOT IN (SELECT file_id FROM {TAKEN})
+    UNION ALL SELECT * FROM {TAKEN})"""
+
+
+def edits(spark, d):
+    rows = b.receipts_with_copies(spark, d).filter("file_id % 9 = 4")
+    raised = F.col("total") + F.when(F.col("id") % 2 == 0, 2).otherwise(0)
+    category = F.when(F.col("id") % 29 == 0, 99).otherwise(F.col("category_override_id"))
+    return rows.withColumns({
+        "total": raised.cast("decimal(12,2)"), "category_override_id": category.cast("bigint"),
+        "run_id": F.col("file_id") * 2 + 1_000_000_000})
+
+
+def corrected(spark, d):
+    vendors = b.vendors(spark, d).select(
+        F.col("id").alias("vendor_id"), F.col("raw_name").alias("vendor"), "normalized_name")
+
+    def named(receipts, files):
+        status = files.select(F.col("id").alias("file_id"), "status")
+        no_items = {"items_total": F.lit(None).cast("decimal(14,2)"), "items": F.lit(0).cast("bigint")}
+        return receipts.withColumns(no_items).join(vendors, "vendor_id").join(status, "file_id")
+
+    tables = {
+        "receipts": b.receipts_with_copies(spark, d), "runs": b.runs(spark, d), "flags": b.flags(spark, d),
+        "files": b.files(spark, d), "categories": b.categories(spark, d)}
+    return compare.correct(edits(spark, d), tables, named, user="asha", now=b.now(), today=b.today())
+
+
+@query("job10_refused_corrections", f"SELECT file_id, reason FROM {REFUSED} WHERE reason IS NOT NULL")
+def _(spark, d):
+    return corrected(spark, d)["refused"]
+
+
+@query("job10_receipts_after_corrections", f"SELECT id, file_id, total, category_override_id FROM {AFTER}")
+def _(spark, d):
+    return corrected(spark, d)["receipts"].select("id", "file_id", "total", "category_override_id")
+
+
+@query("job10_runs_after_corrections", f"""SELECT id, file_id, parser, accepted
+      AND file_id NOT IN (SELECT file_id FROM {TAKEN}) AS accepted FROM runs
+    UNION ALL SELECT DISTINCT file_id * 2 + 1000000000, file_id, 'manual', true FROM {TAKEN}""")
+def _(spark, d):
+    return corrected(spark, d)["runs"].select("id", "file_id", "parser", "accepted")
+
+
+@query("job10_files_after_corrections", f"""SELECT id, CASE WHEN id IN (SELECT file_id FROM {TAKEN}) THEN 'resolved'
+      ELSE status END AS status, CASE WHEN id NOT IN (SELECT file_id FROM {TAKEN}) THEN error END AS error,
+    CASE WHEN id IN (SELECT file_id FROM {TAKEN}) THEN {NOW} ELSE status_changed_at END AS status_changed_at
+    FROM files""")
+def _(spark, d):
+    return corrected(spark, d)["files"].select("id", "status", "error", "status_changed_at")
+
+
+@query("job10_flags_after_corrections", f"""
+    WITH named AS (SELECT r.*, v.raw_name, lower(v.normalized_name) AS known,
+        CASE WHEN r.file_id IN (SELECT file_id FROM {TAKEN}) THEN 'resolved' ELSE f.status END AS status
+      FROM {AFTER} r JOIN vendors v ON v.id = r.vendor_id JOIN files f ON f.id = r.file_id),
+    mine AS (SELECT * FROM named WHERE file_id IN (SELECT file_id FROM {TAKEN})),
+    found AS (SELECT file_id, seq, 'arithmetic_mismatch' AS type, 'subtotal+tax' AS key FROM mine
+        WHERE abs(subtotal + tax - total) > 1
+      UNION ALL SELECT file_id, seq, 'validation_failed', 'date' FROM mine
+        WHERE receipt_date > DATE '2001-08-01' OR receipt_date < DATE '2000-04-01'
+      UNION ALL SELECT a.file_id, a.seq, 'duplicate_receipt', 'duplicate-of:' || min_by(b.ref_no, b.id)
+        FROM mine a JOIN named b ON b.known = lower(a.raw_name) AND b.total = a.total AND b.file_id <> a.file_id
+          AND b.status IN ('parsed', 'resolved') AND CASE WHEN a.receipt_number IS NOT NULL
+            THEN b.receipt_number = a.receipt_number ELSE b.receipt_date = a.receipt_date END
+        GROUP BY a.file_id, a.seq, a.id)
+    SELECT id, file_id, type, dedupe_key, resolved OR file_id IN (SELECT file_id FROM {TAKEN}) AS resolved,
+      CASE WHEN NOT resolved AND file_id IN (SELECT file_id FROM {TAKEN}) THEN 'asha' ELSE resolved_by END AS resolved_by
+    FROM flags UNION ALL
+    SELECT NULL, file_id, type, file_id || ':' || seq || ':' || key, true, 'asha' FROM found""")
+def _(spark, d):
+    return corrected(spark, d)["flags"].select("id", "file_id", "type", "dedupe_key", "resolved", "resolved_by")
+
+
 EXPECTED = "(SELECT * FROM library_receipts WHERE file_id % 5 < 3)"
 SCORES = f"""(SELECT file_id, field, 1 AS compared, CASE WHEN same THEN 1 ELSE 0 END AS matched FROM (
     SELECT e.file_id, f.field, CASE f.field WHEN 'vendor' THEN lower(e.vendor) = lower(s.vendor)

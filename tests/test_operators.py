@@ -306,3 +306,46 @@ def test_starts_that_can_be_labels(spark):
     df = spark.createDataFrame(rows, "t string")
     got = [r[0] for r in df.select(learning.starts_of(F.col("t"), 13)).collect()]
     assert got == [["grand", "grand total", "grand total:", "grand total: "][:3], ["a", "a-b", "a-b c"], ["x"], ["änd", "änd 1"]]
+
+
+def test_a_correction_closes_flags_and_leaves_refused_files_alone(spark):
+    receipt = "id long, file_id long, run_id long, seq int, ref_no string, vendor string, receipt_number string, receipt_date date, subtotal decimal(12,2), tax decimal(12,2), total decimal(12,2), category_override_id long"
+    day = dt.date(2001, 5, 2)
+
+    def row(id, file, run, total, category=None):
+        return (id, file, run, 1, f"R-{id}", "Kiran Stores", f"K{id}", day, D(90), D(10), D(total), category)
+
+    stored = [row(i, i, i * 10, 100) for i in (1, 2, 3)]
+    edits = [row(11, 1, 91, 140), row(12, 2, 92, 100), row(13, 3, 93, 100, 77)]
+    tables = {
+        "receipts": spark.createDataFrame(stored, receipt),
+        "runs": spark.createDataFrame(
+            [(i * 10, i, "csv", True, True, None, None) for i in (1, 2, 3)],
+            "id long, file_id long, parser string, accepted boolean, has_result boolean, finished_at timestamp, created_at timestamp"),
+        "flags": spark.createDataFrame(
+            [(i, i, i, "validation_failed", "warning", "look", f"{i}:1:date", False, None, None) for i in (1, 2, 3)],
+            "id long, file_id long, receipt_id long, type string, severity string, detail string, dedupe_key string, resolved boolean, resolved_by string, resolved_at timestamp"),
+        "files": spark.createDataFrame(
+            [(1, "flagged", "bad", None), (2, "processing", None, None), (3, "needs_review", None, None)],
+            "id long, status string, error string, status_changed_at timestamp"),
+        "categories": spark.createDataFrame([(5,)], "id long"),
+    }
+
+    def named(receipts, files):
+        status = files.select(F.col("id").alias("file_id"), "status")
+        return receipts.withColumns({
+            "normalized_name": F.col("vendor"), "items": F.lit(0), "items_total": F.lit(None).cast("decimal(14,2)"),
+        }).join(status, "file_id")
+
+    now = F.lit("2001-08-01 00:00:00").cast("timestamp")
+    after = compare.correct(
+        spark.createDataFrame(edits, receipt), tables, named, user="mira", now=now, today=F.lit(dt.date(2001, 8, 1)))
+    assert {tuple(r) for r in after["refused"].collect()} == {(2, "busy"), (3, "unknown_category")}
+    assert sorted(r.id for r in after["receipts"].collect()) == [2, 3, 11]
+    assert {(r.id, r.status, r.error) for r in after["files"].collect()} == {
+        (1, "resolved", None), (2, "processing", None), (3, "needs_review", None)}
+    flags = {(r.file_id, r.type, r.resolved, r.resolved_by) for r in after["flags"].collect()}
+    assert flags == {
+        (1, "validation_failed", True, "mira"), (1, "arithmetic_mismatch", True, "mira"),
+        (2, "validation_failed", False, None), (3, "validation_failed", False, None)}
+    assert {(r.id, r.accepted) for r in after["runs"].collect()} == {(10, False), (91, True), (20, True), (30, True)}
