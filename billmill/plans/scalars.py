@@ -165,6 +165,22 @@ def _(spark, d):
         "id", "amount", "day", "number")
 
 
+@query("udf1_parsers_in_sql_text", """SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
+    CAST(o_orderdate AS DATE) AS day, 'B-' || o_orderkey AS number, o_clerk AS vendor,
+    make_date(CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELSE 0 END AS BIGINT), 4, 1) AS starts
+    FROM (SELECT *, 'Clerk ' || o_custkey AS o_clerk FROM orders)""")
+def _(spark, d):
+    sqlnames.register_sql_functions(spark)
+    n = F.col("o_orderkey").cast("string")
+    form = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d MMM yyyy")).otherwise(
+        F.date_format("o_orderdate", "'Dated' dd/MM/yyyy"))
+    raw = orders(spark, d, money.rupees(F.col("o_totalprice").cast("decimal(12,2)")).alias("a"),
+                 form.alias("b"), F.concat(F.lit(" B-"), n).alias("c"),
+                 F.concat(F.lit(" Clerk  "), F.col("o_custkey").cast("string"), F.lit(" ,")).alias("e"))
+    return raw.selectExpr("id", "parse_amount(a) AS amount", "parse_date(b) AS day", "clean_receipt_number(c) AS number",
+                          "clean_vendor(e) AS vendor", "fy_start(parse_date(b)) AS starts")
+
+
 @query("udf5_weighted_mean", """SELECT o_custkey AS custkey, CAST(floor(sum(CAST(o_totalprice AS DECIMAL(12,2)) * (o_orderkey % 7 + 1))
     / sum(o_orderkey % 7 + 1)) AS BIGINT) AS mean FROM orders GROUP BY 1""")
 def _(spark, d):

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from billmill.functions import sqlnames
+from billmill.functions import sqlnames, text
 from billmill.operators import categories, checks, compare, learning, search, skew
 from billmill.operators import files as file_ops
 from billmill.plans.catalog import QUERIES
@@ -250,11 +250,24 @@ def test_parsers_in_sql(spark):
     sqlnames.register_sql_functions(spark)
     row = spark.sql(
         "SELECT fy_start(DATE '2026-02-01') a, within_a_rupee(1.5, 2.5) b, safe_cell('=x') c, "
-        "clean_spaces('  a   b ') d"
+        "clean_text('  a   b ') d"
     ).first()
     assert tuple(row) == (dt.date(2025, 4, 1), True, "'=x", "a b")
 
 
+def test_sql_parsers_agree_with_their_columns(spark):
+    printed = ["₹1,23,456.50", "(45.5)", "Rs. 99/-", "--7", "12.345.6", "x", "", None, " :INV-7/12#. ", "no digits", "\u00a0Ram  & Sons,|",
+               "3 Feb 2001", "03/02/01", "2001-02-30", "31.4.2001 or 1st march, 2002", "Sept 5, 1999", "5\u0001/6/2020", "٣/٢/٢٠٠١", "Jan 32, 2001"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(printed)], "id int, v string")
+    sqlnames.register_sql_functions(spark)
+    names = {"total": "parse_amount", "receipt_date": "parse_date", "vendor": "clean_vendor", "receipt_number": "clean_receipt_number"}
+    columns = sqlnames.with_parsers(rows, {n: (n, "v") for n in names}).select("id", *names).collect()
+    in_sql = rows.selectExpr("id", *[f"{f}(v) AS {n}" for n, f in names.items()]).collect()
+    assert sorted(in_sql) == sorted(columns)
+    cells = spark.createDataFrame([(v,) for v in ("=1", "5", "-2", "@x", "\tx", "a=b", ",", None)], "v string")
+    assert cells.filter(F.expr("safe_cell(v)") != text.safe_cell(F.col("v"))).isEmpty()
+
+
 def test_streams_take_each_file_once_and_drop_known_hashes(spark, tmp_path):
     schema = "sha256 string, id bigint"
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
