@@ -69,8 +69,9 @@ def _(spark, d):
     FROM events GROUP BY 1""", model=False)
 def _(spark, d):
     out, state = places(spark, "status")
-    jobs.run(jobs.latest_status(events(spark, d)), jobs.to_batches(out), state, "update")
-    return jobs.latest(spark, out, "file_id bigint, status string, ts timestamp", ["file_id"])
+    kept = "file_id bigint, status string, ts timestamp"
+    jobs.run(jobs.latest_status(events(spark, d)), jobs.to_snapshots(out, kept, ["file_id"]), state, "update")
+    return jobs.latest(spark, out, kept, ["file_id"])
 
 
 @query("stm4_stuck_files", """SELECT user_id AS file_id, date_trunc('milliseconds', max(ts)) AS since FROM events
@@ -101,7 +102,7 @@ def _(spark, d):
 def _(spark, d):
     out, state = places(spark, "used")
     approved = events(spark, d).filter("status = 'resolved'")
-    jobs.run(jobs.used_per_local_day(approved), jobs.to_batches(out), state, "update")
+    jobs.run(jobs.used_per_local_day(approved), jobs.to_snapshots(out, "day date, used bigint", ["day"]), state, "update")
     return jobs.latest(spark, out, "day date, used bigint", ["day"])
 
 

@@ -52,9 +52,42 @@ def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch int").parquet(path)
 
 
+SNAPSHOT_EVERY = 16
+
+
+def _valid_snapshot(spark: SparkSession, path: str) -> int:
+    """The number of the last whole snapshot; -1 before the first."""
+    return spark.read.schema("snapshot int").parquet(f"{path}/valid").agg(F.max("snapshot")).first()[0]
+
+
+def to_snapshots(path: str, schema: str, keys: list[str], every: int = SNAPSHOT_EVERY):
+    """Writes each micro-batch of an update-mode result to its own folder. Every so many of
+    them a snapshot is written of the last snapshot and the batches after it, and only then
+    named as valid: readers and later snapshots read no batch that a valid one holds."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+        if number == 0:
+            spark.createDataFrame([(-1,)], "snapshot int").write.mode("append").parquet(f"{path}/valid")
+        due = (number + 1) % every == 0
+        if due and _valid_snapshot(spark, path) < number:  # a repeated batch has its snapshot already
+            rows = latest(spark, path, schema, keys)
+            rows.write.mode("overwrite").parquet(f"{path}/snapshots/{number}")
+            named = spark.createDataFrame([(number,)], "snapshot int")
+            named.write.mode("append").parquet(f"{path}/valid")
+
+    return write
+
+
 def latest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """An update-mode result: each key's row from its latest micro-batch."""
-    rows = batches(spark, path, schema)
+    """An update-mode result written by `to_snapshots`: each key's row from its latest
+    micro-batch, read from the valid snapshot and the batches after it."""
+    valid = _valid_snapshot(spark, path)
+    rows = batches(spark, f"{path}/batches", schema).filter(F.col("batch") > valid)
+    if valid >= 0:
+        before = spark.read.schema(schema).parquet(f"{path}/snapshots/{valid}")
+        rows = rows.unionByName(before.withColumn("batch", F.lit(valid)))
     values = [c for c in rows.columns if c not in (*keys, "batch")]
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
     return picked.select(*keys, "_row.*")
@@ -73,22 +106,32 @@ def recent_duplicates_dropped(uploads: DataFrame, time: str, delay: str) -> Data
     return uploads.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def ingest_unique(uploads: DataFrame, path: str, checkpoint: str):
-    """One upload per hash for ever: the earliest of each micro-batch, unless an earlier
-    micro-batch has the hash already."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def write(batch: DataFrame, number: int) -> None:
-        rest = [c for c in batch.columns if c != "sha256"]
-        first = batch.groupBy("sha256").agg(F.min(F.struct(*rest)).alias("_row"))
-        fresh = first.select("sha256", "_row.*")
-        if number > 0:
-            earlier = batch.sparkSession.read.parquet(
-                *[f"{path}/batch={n}" for n in range(number)]
-            )
-            fresh = fresh.join(earlier.select("sha256"), "sha256", "left_anti")
-        to_batches(path)(fresh, number)
-
-    return run(uploads, write, checkpoint, "append")
+
+def first_uploads(uploads: DataFrame) -> DataFrame:
+    """The first upload of each hash for ever, as state kept by hash: its least row of the
+    first micro-batch that has the hash. A hash met again is put out by no later one. Rows are
+    reduced by hash before they are exchanged, so copies of one upload gather nowhere."""
+    rest = [c for c in uploads.columns if c != "sha256"]
+    seen = uploads.withColumn("_at", F.current_timestamp())  # one time for a whole micro-batch
+    kept = seen.groupBy("sha256").agg(
+        F.min(F.struct("_at", *rest)).alias("_row"), F.max("_at").alias("_last")
+    )
+    return kept.filter(F.col("_row._at") == F.col("_last")).select("sha256", "_row.*").drop("_at")
+
+
+def ingest_unique(uploads: DataFrame, path: str, checkpoint: str):
+    """Append one upload per hash for ever. The hashes known lie in a state store on disk, of
+    which a micro-batch touches its own; nothing written is read back."""
+    conf = uploads.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ON_DISK)
+    try:
+        return run(first_uploads(uploads), to_batches(path), checkpoint, "update")
+    finally:
+        conf.set(STATE_STORE, before)
 
 
 # --- statuses ------------------------------------------------------------------------------------

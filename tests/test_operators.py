@@ -272,13 +272,35 @@ def test_streams_take_each_file_once_and_drop_known_hashes(spark, tmp_path):
     schema = "sha256 string, id bigint"
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     seen = defaultdict(list)
-    for number, rows in enumerate([[("x", 1), ("x", 2), ("y", 3)], [("y", 4), ("z", 5)]]):
+    for number, rows in enumerate([[("x", 2), ("x", 1), ("y", 3)], [("y", 2), ("z", 5)], [("z", 4), ("x", 0), ("w", 9)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         jobs.ingest_unique(jobs.read_files(spark, source, schema), out, state)
         for r in jobs.batches(spark, out, schema).collect():
             seen[number].append((r.sha256, r.id))
     assert sorted(seen[0]) == [("x", 1), ("y", 3)]
     assert sorted(seen[1]) == [("x", 1), ("y", 3), ("z", 5)]
+    assert sorted(seen[2]) == [("w", 9), ("x", 1), ("y", 3), ("z", 5)]
+
+
+def test_snapshots_hold_the_batches_before_them(spark, tmp_path):
+    schema = "file_id bigint, event_id bigint, status string, ts timestamp"
+    kept = "file_id bigint, status string, ts timestamp"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write = jobs.to_snapshots(out, kept, ["file_id"], every=2)
+    expected = {}
+    for number in range(5):
+        rows = [(f, number * 10 + f, f"s{number}", dt.datetime(2026, 8, 1 + number)) for f in range(number, 8, number + 1)]
+        expected |= {r[0]: r[2] for r in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.run(jobs.latest_status(jobs.read_files(spark, source, schema)), write, state, "update")
+        assert {r.file_id: r.status for r in jobs.latest(spark, out, kept, ["file_id"]).collect()} == expected
+    assert sorted(p.name for p in (tmp_path / "out" / "snapshots").iterdir()) == ["1", "3"]
+    # A repeated batch changes nothing, and batches that a snapshot holds are not read again.
+    again = [(f, "s3", dt.datetime(2026, 8, 4)) for f in (3, 7)]
+    write(spark.createDataFrame(again, kept), 3)
+    found = jobs.latest(spark, out, kept, ["file_id"])
+    assert {r.file_id: r.status for r in found.collect()} == expected
+    assert "(batch#" in plan_of(found) and "> 3)" in plan_of(found)
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
@@ -289,7 +311,7 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         df = spark.sql(f"SELECT TIMESTAMP '{stamp}' AS ts")
         df.coalesce(1).write.mode("append").parquet(source)
         stream = jobs.used_per_local_day(jobs.read_files(spark, source, schema))
-        done = jobs.run(stream, jobs.to_batches(out), state, "update")
+        done = jobs.run(stream, jobs.to_snapshots(out, "day date, used bigint", ["day"]), state, "update")
         dropped += sum(o["numRowsDroppedByWatermark"] for p in done.recentProgress for o in p["stateOperators"])
     used = {r.day: r.used for r in jobs.latest(spark, out, "day date, used bigint", ["day"]).collect()}
     assert used == {dt.date(2026, 8, 5): 1, dt.date(2026, 8, 6): 1} and dropped == 1
