@@ -281,6 +281,31 @@ def _(spark, d):
         F.count("*").alias("files"))
 
 
+def archives(spark, d):
+    """Each document's text as the one file of an archive. Some name a workbook in the directory
+    and some only in the text, some lost their end, some have a directory that is not one."""
+    name = F.when(F.col("doc_id") % 5 == 1, landing.WORKBOOK).otherwise("notes/one.txt")
+    body = F.concat(F.lit("PK\x03\x04"), F.coalesce("text", F.lit("")), F.lit(landing.WORKBOOK))
+    body = F.encode(body, "UTF-8")
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    little = lambda n, size: F.concat(*[
+        F.lpad(F.hex(F.shiftright(n.cast("int"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(size)])
+    mark = F.when(F.col("doc_id") % 5 == 3, "504B0909").otherwise("504B0102")
+    entry = F.concat(mark, zeros(24), little(F.length(name), 2), zeros(16), F.hex(F.encode(name, "UTF-8")))
+    end = F.concat(F.lit("504B0506"), zeros(4), little(F.lit(1), 2), little(F.lit(1), 2),
+                   little(F.length(name) + 46, 4), little(F.length(body), 4), zeros(2))
+    kept = F.when(F.col("doc_id") % 5 == 2, F.substring(F.hex(body), 1, 30)).otherwise(F.concat(F.hex(body), entry, end))
+    return b.table(spark, d, "documents").select("doc_id", F.unhex(kept).alias("content"))
+
+
+@query("src3_kinds_of_archives", """SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'excel' END AS kind,
+    CASE WHEN doc_id % 5 IN (2, 3) THEN 'The file is damaged.'
+      WHEN doc_id % 5 <> 1 THEN 'This is a zip archive, not a spreadsheet.' END AS problem FROM documents""", model=False)
+def _(spark, d):
+    return archives(spark, d).select("doc_id", landing.detect(F.col("content")).alias("k")).select(
+        "doc_id", "k.kind", "k.problem")
+
+
 @query("src6_delimited_cells", f"""
     SELECT CAST(id AS VARCHAR) AS file_id, x.row, x.col, CASE x.what WHEN 'vendor' THEN vendor
       WHEN 'number' THEN 'C-' || id WHEN 'day' THEN CAST(receipt_date AS VARCHAR)

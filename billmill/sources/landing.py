@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billmill.functions.text import let
 from billmill.model import MAX_UPLOAD_BYTES
 
 # fixed values: the characters Windows-1252 has where Latin-1 has control codes
@@ -25,6 +26,11 @@ KINDS = {
     "csv": ("csv", "text/csv"),
 }
 SNIFF_BYTES = 8192
+# fixed values: a zip archive ends with a record of 22 bytes and a comment of at most 65,535; its
+# directory has a head of 46 bytes before each name
+END_MARK, END_BYTES, MOST_COMMENT = "504B0506", 22, 65535
+ENTRY_MARK, ENTRY_BYTES = "504B0102", 46
+WORKBOOK = "xl/workbook.xml"
 
 
 def read_landing(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES):
@@ -89,6 +95,64 @@ def looks_like_csv(content: Column) -> Column:
     return F.coalesce(no_nul & enough, F.lit(False))
 
 
+def _little(content: Column, at: Column, size: int) -> Column:
+    """The number in `size` bytes from place `at` (from 0), the lowest byte first."""
+    pairs = [F.hex(F.substring(content, at + i + 1, 1)) for i in reversed(range(size))]
+    return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
+
+
+def archive_kind(content: Column) -> Column:
+    """'workbook', 'archive' or 'damaged', from the directory at the end of a zip archive's
+    bytes. Only the directory is walked, one entry a step; what the files hold is not read, so
+    a name inside them does not count."""
+    tail = F.substring(content, -(END_BYTES + MOST_COMMENT), END_BYTES + MOST_COMMENT)
+    # The last mark: what follows it holds no other.
+    mark = bytes.fromhex(END_MARK).decode("latin-1")
+    after = F.length(F.substring_index(F.decode(tail, "ISO-8859-1"), mark, -1))
+    end = (F.length(content) - after - 4).cast("bigint")
+
+    def found(e: Column) -> Column:
+        at = e["end"]
+        whole = (F.length(content) - at >= END_BYTES) & (
+            F.hex(F.substring(content, at.cast("int") + 1, 4)) == END_MARK
+        )
+        at = at.cast("int")
+        return F.struct(
+            F.coalesce(whole, F.lit(False)).alias("whole"), at.alias("end"),
+            _little(content, at + 10, 2).alias("entries"),
+            (at - _little(content, at + 12, 4)).alias("start"),
+            _little(content, at + 16, 4).alias("offset"),
+        )
+
+    def walk(d: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            at = s["at"].cast("int")
+            name_bytes = _little(content, at + 28, 2)
+            sound = s["sound"] & (s["at"] + ENTRY_BYTES <= d["end"]) & (
+                F.hex(F.substring(content, at + 1, 4)) == ENTRY_MARK
+            )
+            name = F.decode(F.substring(content, at + ENTRY_BYTES + 1, name_bytes.cast("int")), "ISO-8859-1")
+            more = name_bytes + _little(content, at + 30, 2) + _little(content, at + 32, 2)
+            return F.when(s["sound"], F.struct(
+                F.coalesce(s["at"] + ENTRY_BYTES + more, s["at"]).alias("at"),
+                F.coalesce(sound, F.lit(False)).alias("sound"),
+                (s["workbook"] | F.coalesce(sound & (name == WORKBOOK), F.lit(False))).alias("workbook"),
+            )).otherwise(s)
+
+        begin = F.struct(
+            d["start"].alias("at"), (d["start"] >= d["offset"]).alias("sound"), F.lit(False).alias("workbook")
+        )
+        steps = F.when(d["entries"] > 0, F.sequence(F.lit(1), d["entries"].cast("int"))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.aggregate(steps, begin, step, lambda s: F.when(
+            ~s["sound"] | (s["at"] > d["end"]), "damaged"
+        ).when(s["workbook"], "workbook").otherwise("archive"))
+
+    read = let(let(F.struct(end.alias("end")), found), lambda d: F.when(d["whole"], walk(d)))
+    return F.coalesce(read, F.lit("damaged"))
+
+
 def detect(content: Column) -> Column:
     """struct(kind, mime_type, problem) from the bytes alone. PDFs are told from their lines
     later on, so their kind is 'pdf' here."""
@@ -99,7 +163,6 @@ def detect(content: Column) -> Column:
 
     brand = F.substring(start, 17, 8)
     heic = [F.hex(F.lit(b)) for b in ("heic", "heix", "mif1", "msf1", "hevc")]
-    workbook = F.contains(F.decode(content, "ISO-8859-1"), F.lit("xl/workbook.xml"))
 
     def is_kind(name: str) -> Column:
         kind, mime = KINDS[name]
@@ -112,13 +175,15 @@ def detect(content: Column) -> Column:
             F.lit(problem).cast("string").alias("problem"),
         )
 
+    def of_archive(archive: Column) -> Column:
+        other = answer(None, None, "This is a zip archive, not a spreadsheet.")
+        damaged = answer(None, None, "The file is damaged.")
+        return F.when(archive == "workbook", is_kind("xlsx")).when(archive == "damaged", damaged).otherwise(other)
+
     return (
         F.when(F.coalesce(F.length(content), F.lit(0)) == 0, answer(None, None, "The file is empty."))
         .when(starts("25504446"), answer("pdf", "application/pdf"))
-        .when(starts("504B0304") & workbook, is_kind("xlsx"))
-        .when(
-            starts("504B0304"), answer(None, None, "This is a zip archive, not a spreadsheet.")
-        )
+        .when(starts("504B0304"), let(archive_kind(content), of_archive))
         .when(starts("D0CF11E0A1B11AE1"), is_kind("ole"))
         .when(starts("FFD8FF"), is_kind("jpeg"))
         .when(starts("89504E470D0A1A0A"), is_kind("png"))

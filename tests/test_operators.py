@@ -1,7 +1,9 @@
 """Operators on small tables made for them, against brute force where that says it best."""
 
 import datetime as dt
+import io
 import random
+import zipfile
 from collections import defaultdict
 from decimal import Decimal as D
 
@@ -193,9 +195,35 @@ def test_recovery_boundaries(spark):
     assert reset == {i for i, c in enumerate(cases) if c[4]}
 
 
+def zipped(*names, text="x", comment=b""):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for name in names:
+            archive.writestr(name, text)
+        archive.comment = comment
+    return held.getvalue()
+
+
+def test_archives_by_their_directory(spark):
+    many = [f"sheets/{i}.xml" for i in range(300)]
+    book = zipped(*many, "xl/workbook.xml")
+    broken = bytearray(book)
+    broken[broken.rindex(b"PK\x01\x02")] = 0
+    cases = [
+        (book, "workbook"), (zipped("xl/workbook.xml", comment=b"by PK\x05 hand" * 2000), "workbook"),
+        (b"#!before" + book, "workbook"), (zipped(*many, text="xl/workbook.xml"), "archive"),
+        (zipped("old/xl/workbook.xml", "xl/workbook.xml.bak"), "archive"), (zipped(), "archive"),
+        (book[:-30], "damaged"), (book[: len(book) // 2], "damaged"), (bytes(broken), "damaged"),
+        (b"PK\x03\x04 xl/workbook.xml", "damaged"), (b"PK\x05\x06", "damaged"), (book + b"\x00" * 9, "workbook"),
+    ]
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, (c, _) in enumerate(cases)], "id int, content binary")
+    got = {r.id: r.k for r in rows.select("id", landing.archive_kind(F.col("content")).alias("k")).collect()}
+    assert got == {i: k for i, (_, k) in enumerate(cases)}
+
+
 def test_landing_kinds_and_refusals(spark, tmp_path):
     files = {
-        "a.bin": b"%PDF-1.4 x", "b.bin": b"PK\x03\x04...xl/workbook.xml...", "c.bin": b"PK\x03\x04 other",
+        "a.bin": b"%PDF-1.4 x", "b.bin": zipped("xl/workbook.xml"), "c.bin": zipped("other"), "n.bin": b"PK\x03\x04...xl/workbook.xml...",
         "d.bin": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "e.bin": b"\xff\xd8\xff\xe0", "f.bin": b"\x89PNG\r\n\x1a\n",
         "g.bin": b"RIFF0000WEBP", "h.bin": b"0000ftypheic", "i.bin": b"a,b\nc,d\n", "j.bin": b"just words",
         "l.bin": b"x" * 500, "m.bin": b"a\x00,b\nc,d\n",
@@ -208,9 +236,9 @@ def test_landing_kinds_and_refusals(spark, tmp_path):
            kept.select("path", landing.detect(F.col("content")).alias("k")).collect()}
     assert {n: k for n, (k, _) in got.items()} == {
         "a.bin": "pdf", "b.bin": "excel", "c.bin": None, "d.bin": "excel", "e.bin": "image", "f.bin": "image",
-        "g.bin": "image", "h.bin": "image", "i.bin": "csv", "j.bin": None, "m.bin": None,
+        "g.bin": "image", "h.bin": "image", "i.bin": "csv", "j.bin": None, "m.bin": None, "n.bin": None,
     }
-    assert "zip archive" in got["c.bin"][1]
+    assert "zip archive" in got["c.bin"][1] and "damaged" in got["n.bin"][1]
     # The scan leaves empty files out; as rows they are told apart.
     empty = spark.createDataFrame([(bytearray(),)], "content binary")
     assert empty.select(landing.detect(F.col("content"))["problem"]).first()[0] == "The file is empty."
