@@ -6,7 +6,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billmill.session import scratch_path
@@ -63,3 +63,16 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_B
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+PARTS_OF_KEY = 64
+
+
+def first_of_key(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key. Each key is ranked in parts first, so that however many rows
+    or splits it has, no task ranks more than its part of them and then n rows of each part."""
+    parted = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(PARTS_OF_KEY)))
+    for keys in ([key, "part"], [key]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        parted = parted.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+    return parted.drop("part")

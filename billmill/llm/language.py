@@ -1,23 +1,23 @@
 """Language of a text by a string kernel: shared n-grams with landmarks, and ridge regression."""
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billmill.llm.common import Shared, text_blocks
+from billmill.llm.common import Shared, first_of_key, text_blocks
 
 SAMPLE_PER_LANGUAGE = 200
 LANDMARKS_PER_LANGUAGE = 40
-ALPHABET = 96
 RIDGE = 1e-2
 UNKNOWN = "und"
 STEP = 1 << 20
+CODES = 0x110000  # code points there are: a run of three has a number below 2^63
 DOCS_PER_PRODUCT = 128
 _LETTER: list[np.ndarray] = []
 
@@ -43,12 +43,20 @@ def steps(text: str) -> Iterator[np.ndarray]:
         tail = codes[-2:]
 
 
-def grams(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the runs of one, two and three letters over an alphabet of `size` codes.
-    The three kinds have ranges of their own."""
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of one, two and three code points. The three kinds have ranges of
+    their own, so different runs have different numbers, whatever the script."""
     codes = codes.astype(np.int64)
-    two = codes[:-1] * size + codes[1:]
-    return codes, two + size, two[:-1] * size + codes[2:] + size + size * size
+    two = codes[:-1] * CODES + codes[1:]
+    return np.concatenate([codes, two + CODES, two[:-1] * CODES + codes[2:] + CODES + CODES * CODES])
+
+
+def present(text: str) -> np.ndarray:
+    """The different n-grams of a text, a gap alone left out."""
+    found = np.zeros(0, np.int64)
+    for codes in steps(text):
+        found = pd.unique(np.concatenate([found, pd.unique(grams(codes))]))
+    return found[found != 0]
 
 
 @dataclass
@@ -56,29 +64,15 @@ class Model:
     """Landmarks' n-grams and the weights of each language over the landmarks."""
 
     languages: list[str]
-    alphabet: list[int]
-    vocabulary: np.ndarray  # the n-grams that any landmark has
+    vocabulary: np.ndarray  # the n-grams that any landmark has, ascending
     landmarks: np.ndarray  # vocabulary x landmarks: presence over the root of the landmark's n-grams
     weights: np.ndarray  # landmarks x languages
 
 
-class Kernel:
-    """Kernel of texts with landmarks: common n-grams over the root of both numbers of n-grams."""
-
-    def __init__(self, alphabet: list[int]):
-        self.size = len(alphabet) + 2  # 0 is a gap, the last is any other letter
-        self.code = np.where(_letters(), self.size - 1, 0).astype(np.uint8 if self.size < 256 else np.uint32)
-        self.code[alphabet] = np.arange(1, self.size - 1)
-        self.seen = np.zeros(self.size + self.size**2 + self.size**3, bool)
-
-    def present(self, text: str) -> np.ndarray:
-        """Marks of the n-grams of a text; valid up to the next call."""
-        self.seen[:] = False
-        for codes in steps(text):
-            for found in grams(self.code[codes], self.size):
-                self.seen[found] = True
-        self.seen[0] = False  # a gap alone
-        return self.seen
+def common(vocabulary: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Places in the vocabulary of those n-grams that it has."""
+    at = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
+    return at[vocabulary[at] == found]
 
 
 def has_letter(text: Column) -> Column:
@@ -87,11 +81,10 @@ def has_letter(text: Column) -> Column:
 
 def sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
     """lang and text of the first `per_language` labelled rows with a letter of each language,
-    in the order of a hash of id and text. The rank limit is applied before any exchange."""
+    in the order of a hash of id and text."""
     labelled = docs.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
     slim = labelled.select("lang", F.xxhash64("doc_id", "text").alias("order"))
-    first = Window.partitionBy("lang").orderBy("order")
-    chosen = slim.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
+    chosen = first_of_key(slim, "lang", ["order"], per_language)
     wanted = F.broadcast(chosen.select("order").distinct())  # per_language rows of each language
     rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("order")).join(wanted, "order")
     best: dict[tuple[str, int], str] = {(r.lang, r.order): r.text for r in rows.collect()}
@@ -109,13 +102,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
-    letters = Counter()
-    for _, text in rows:
-        for codes in steps(text):
-            letters.update(np.unique(codes[codes != 0]).tolist())
-    alphabet = sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-    kernel = Kernel(alphabet)
-    found = [np.flatnonzero(kernel.present(text)) for _, text in rows]
+    found = [present(text) for _, text in rows]
     order = {lang: 0 for lang in languages}
     chosen = []
     for i, (lang, _) in enumerate(rows):
@@ -125,7 +112,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int
     vocabulary = np.unique(np.concatenate([found[i] for i in chosen]))
     presence = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, own in enumerate(found):
-        presence[i, np.searchsorted(vocabulary, own[np.isin(own, vocabulary)])] = 1 / np.sqrt(len(own))
+        presence[i, common(vocabulary, own)] = 1 / np.sqrt(len(own))
     marks = np.ascontiguousarray(presence[chosen].T)
     values, vectors = np.linalg.eigh((presence[chosen] @ marks).astype(np.float64))
     kept = values > 1e-6 * values.max()
@@ -134,21 +121,20 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int
     target = np.array([[1.0 if lang == other else -1.0 for other in languages] for lang, _ in rows])
     ridge = features.T @ features + RIDGE * len(rows) * np.eye(features.shape[1]) / features.shape[1]
     weights = whiten @ np.linalg.solve(ridge, features.T @ target)
-    return Model(languages, alphabet, vocabulary, marks, weights.astype(np.float32))
+    return Model(languages, vocabulary, marks, weights.astype(np.float32))
 
 
-def _scores(kernel: Kernel, model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _scores(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     for at in range(0, len(texts), DOCS_PER_PRODUCT):
-        rows, presence = [], []
-        for i in range(at, min(at + DOCS_PER_PRODUCT, len(texts))):
-            seen = kernel.present(texts[i] or "")
-            if size := np.count_nonzero(seen):
-                rows.append(i)
-                presence.append(seen[model.vocabulary] / np.float32(np.sqrt(size)))
+        found = {i: present(texts[i] or "") for i in range(at, min(at + DOCS_PER_PRODUCT, len(texts)))}
+        rows = [i for i, own in found.items() if len(own)]
         if not rows:
             continue
-        values = (np.array(presence, np.float32) @ model.landmarks) @ model.weights
+        presence = np.zeros((len(rows), len(model.vocabulary)), np.float32)
+        for place, i in enumerate(rows):
+            presence[place, common(model.vocabulary, found[i])] = 1 / np.sqrt(len(found[i]))
+        values = (presence @ model.landmarks) @ model.weights
         for i, value in zip(rows, values, strict=True):
             best = int(np.argmax(value))
             names[i] = model.languages[best]
@@ -171,11 +157,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        kernel = Kernel(model.alphabet) if model else None
         for batch in batches:
             for block in text_blocks(batch):
                 texts = block.column("text").to_pylist()
-                names, scores = _scores(kernel, model, texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+                names, scores = _scores(model, texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [block.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=["row", "lang_pred", "score"],

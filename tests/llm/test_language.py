@@ -21,25 +21,39 @@ def test_held_out_accuracy(predicted):
     assert right >= 0.95 * len(held)
 
 
-def test_kernel_is_the_share_of_common_grams():
-    kernel = language.Kernel(sorted(map(ord, "abc")))
+def brute(text):
+    flat = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    return {flat[i : i + n] for n in (1, 2, 3) for i in range(len(flat) - n + 1)} - {" "}
 
-    def brute(text):
-        flat = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
-        flat = "".join(c if c in "abc " else "?" for c in flat)
-        return {flat[i : i + n] for n in (1, 2, 3) for i in range(len(flat) - n + 1)} - {" "}
 
-    for text in ("abc", "A b--c é", "aaa aaa", "x1y2", "", "c" * 9):
-        found = int(np.count_nonzero(kernel.present(text)))
-        assert found == (len(brute(text)) if any(c.isalpha() for c in text) else 0), text
+TEXTS = ["abc", "A b--c é", "aaa aaa", "x1y2", "c" * 9, "日本語 の文", "日本", "本日", "Ωμέγα 𐐨𐐩", "漢字仮名"]
+
+
+def test_grams_are_those_of_the_text():
+    for text in TEXTS:
+        assert len(language.present(text)) == len(brute(text)), text
+    assert len(language.present("")) == len(language.present(" 12 ")) == 0
+    for one in TEXTS:
+        for other in TEXTS:
+            both = np.intersect1d(language.present(one), language.present(other))
+            assert len(both) == len(brute(one) & brute(other)), (one, other)
 
 
 def test_steps_lose_no_gram(monkeypatch):
     text = "ab, cde f-gh ij"
-    kernel = language.Kernel(sorted(map(ord, "abcdefghij")))
-    whole = kernel.present(text).copy()
+    whole = sorted(language.present(text))
     monkeypatch.setattr(language, "STEP", 3)
-    assert (kernel.present(text) == whole).all()
+    assert sorted(language.present(text)) == whole
+
+
+def test_languages_of_many_letters(spark):
+    """Two languages told apart only by which of some thousand letters they use."""
+    source = np.random.default_rng(7)
+    letters = {"one": range(0x4E00, 0x5600, 2), "two": range(0x4E01, 0x5600, 2)}
+    rows = [(i, "".join(chr(c) for c in source.choice(letters[lang], 300)), lang) for i in range(120) for lang in letters]
+    docs = spark.createDataFrame([(i, text, lang) for i, (_, text, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    found = language.identify(docs, F.col("doc_id") < 160).join(docs, "doc_id").filter("doc_id >= 160").collect()
+    assert sum(r.lang_pred == r.lang for r in found) == len(found) == 80
 
 
 def test_odd_rows(spark):
