@@ -142,15 +142,37 @@ def page(receipts_view: DataFrame, query: ReceiptQuery) -> DataFrame:
     return rows.orderBy(*ordering(query)).offset(offset).limit(size).select(*ROW_COLUMNS)
 
 
+def page_after(receipts_view: DataFrame, query: ReceiptQuery, last: tuple, shown: int = 0) -> DataFrame:
+    """The page after the row `last`: (date, reference), or (total, date, reference) when sorted
+    by amount; `shown` rows came before, which counts when there is a limit. However deep the
+    page, no task holds more than one page of rows: those before it are filtered out. Rows
+    without a date come first, so a date of None stands for the last of them."""
+    size = PAGE_SIZE if query.limit is None else min(PAGE_SIZE, query.limit - shown)
+    rows = matching(receipts_view, query)
+    if size <= 0:
+        return rows.select(*ROW_COLUMNS).limit(0)
+    *amount, day, ref = last
+    day = F.lit(day).cast("date")
+    dated = F.col("receipt_date")
+    later = F.when(dated.isNull(), F.lit(False)).when(day.isNull(), F.lit(True)).otherwise(dated > day)
+    after = later | (dated.eqNullSafe(day) & (F.col("ref_no") > F.lit(ref)))
+    if query.sort == "amount":
+        total = F.lit(amount[0]).cast("decimal(14,2)")
+        lower = F.coalesce(F.col("total") < total, F.col("total").isNull() & total.isNotNull())
+        after = lower | (F.col("total").eqNullSafe(total) & after)
+    return rows.filter(after).orderBy(*ordering(query)).limit(size).select(*ROW_COLUMNS)
+
+
 def waiting_for_review(files: DataFrame) -> DataFrame:
     return files.filter(F.col("status").isin(*WAITING)).agg(F.count("*").alias("waiting_for_review"))
 
 
 def search(receipts_view: DataFrame, files: DataFrame, query: ReceiptQuery) -> DataFrame:
     """A whole search page as one row: totals over every match, the waiting count, the rows
-    of one page (at most 50) as an array. The three single values are worked out first."""
-    sums = totals(limited(receipts_view, query)).first()
-    waiting = waiting_for_review(files).first()[0]
+    of one page (at most 50) as an array. All of it is one job: the single values are
+    subqueries of the page."""
+    sums = totals(limited(receipts_view, query)).select(F.struct("*")).scalar()
+    waiting = waiting_for_review(files).scalar()
     rows = page(receipts_view, query)
     packed = rows.agg(F.collect_list(F.struct(*ROW_COLUMNS)).alias("_rows"))
     if query.sort == "amount":
@@ -162,10 +184,10 @@ def search(receipts_view: DataFrame, files: DataFrame, query: ReceiptQuery) -> D
         lambda x: x["r"],
     )
     return packed.select(
-        F.lit(sums["receipts"]).cast("bigint").alias("receipts"),
-        F.lit(sums["sum_total"]).cast("decimal(18,2)").alias("sum_total"),
-        F.lit(sums["average_total"]).cast("decimal(18,2)").alias("average_total"),
-        F.lit(waiting).cast("bigint").alias("waiting_for_review"),
+        sums["receipts"].alias("receipts"),
+        sums["sum_total"].alias("sum_total"),
+        sums["average_total"].alias("average_total"),
+        waiting.alias("waiting_for_review"),
         ordered.alias("rows"),
     )
 

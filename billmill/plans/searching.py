@@ -140,6 +140,22 @@ def _(spark, d):
     return search.page(b.receipt_view(spark, d), ReceiptQuery(category_id=2, page=3))
 
 
+@query("sort3_page_after_a_row",
+       where("category_id = 2 AND (receipt_date, ref_no) > (DATE '1996-02-10', 'REF-2001-000100-01')")
+       + " ORDER BY receipt_date, ref_no LIMIT 50")
+def _(spark, d):
+    return search.page_after(
+        b.receipt_view(spark, d), ReceiptQuery(category_id=2), (date(1996, 2, 10), "REF-2001-000100-01"))
+
+
+@query("sort3_page_after_an_amount",
+       where("total < 150000 OR total = 150000 AND (receipt_date, ref_no) > (DATE '1996-02-10', 'REF-2001-000100-01')")
+       + " ORDER BY total DESC, receipt_date, ref_no LIMIT 30")
+def _(spark, d):
+    last = (150_000, date(1996, 2, 10), "REF-2001-000100-01")
+    return search.page_after(b.receipt_view(spark, d), ReceiptQuery(sort="amount", limit=70), last, shown=40)
+
+
 @query("sort3_last_page_of_a_top",
        where("true") + " ORDER BY total DESC, receipt_date, ref_no LIMIT 20 OFFSET 50")
 def _(spark, d):

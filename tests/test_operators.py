@@ -153,6 +153,30 @@ def test_vendor_text_stays_a_literal(view):
     assert search.matching(view, query).count() == 0
 
 
+@pytest.mark.parametrize("sort", ["date", "amount"])
+def test_pages_by_the_last_row_are_the_numbered_pages(spark, sort, monkeypatch):
+    monkeypatch.setattr(search, "PAGE_SIZE", 3)
+    days = [None, dt.date(2001, 5, 1), dt.date(2001, 5, 2)]
+    totals = [D(0), D(100), None, D(100), D(5)]
+    rows = [(f"R-{i:02}", days[i % 3], totals[i % 5], "parsed") for i in range(17)]
+    made = spark.createDataFrame(rows, "ref_no string, receipt_date date, total decimal(12,2), status string")
+    made = made.withColumns({c: F.lit(None).cast("string") for c in search.ROW_COLUMNS if c not in made.columns}).cache()
+    for limit in (None, 10):
+        found, last, page = [], None, 1
+        while True:
+            q = search.ReceiptQuery(sort=sort, limit=limit, page=page)
+            wanted = search.page(made, q).collect()
+            got = wanted if last is None else search.page_after(made, q, last, shown=len(found)).collect()
+            assert got == wanted
+            if not got:
+                break
+            found += got
+            end = got[-1]
+            last = (*([end.total] if sort == "amount" else []), end.receipt_date, end.ref_no)
+            page += 1
+        assert len(found) == (limit or 17)
+
+
 def test_csv_export(view, tmp_path):
     path = str(tmp_path / "export")
     sinks.export_csv(view, search.ReceiptQuery(category_id=1, sort="amount"), path)
