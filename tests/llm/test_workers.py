@@ -18,7 +18,7 @@ OPEN = "import pickle, sys; print(type(pickle.load(open(sys.argv[1], 'rb'))).__n
 @pytest.mark.parametrize(
     "value",
     [
-        language.Model(["en"], [97], np.zeros(1, np.int64), np.zeros((1, 1)), np.zeros((1, 1))),
+        language.Model(["en"], np.zeros(1, np.int64), np.zeros((1, 1)), np.zeros((1, 1))),
         attention_lm.Attention.new(),
         decontaminate.Index([], None),
     ],
