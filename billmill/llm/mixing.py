@@ -1,6 +1,7 @@
 """Rates at which documents are drawn, so that the domains' expected tokens meet targets."""
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from billmill.llm.common import settled, staged
 SAMPLE_PER_DOMAIN = 2_000
 WORDS_PER_DOMAIN = 40
 LEAST_DOCUMENTS = 5
-LEAST_Z = 5.0  # chance alone gives this to no word of a million
+CHANCE_WORDS = 0.01  # words that chance alone may give, of all that are tried
 SEED = 8
 CLEAR = 0.5  # posterior above which a document of a dropped domain goes
 STEPS = 60
@@ -50,8 +51,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN)
     The sample is the first `per_domain` labelled documents of each domain in the order of a
     hash of the id. For each domain the WORDS_PER_DOMAIN words are kept whose share of its
     documents is most significantly above that of the others' (ties by the word); equal texts of
-    a domain count as one. Rows without
-    doc_id or domain are not used; without any label there is one domain, `all`.
+    a domain count as one. How significant it must be follows from the number of words tried, so
+    that small tables have words too. Rows without doc_id or domain are not used; without any label there is one domain, `all`.
     """
     first = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
@@ -82,8 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE_PER_DOMAIN)
             for d in domains
         ))).alias("own"),
     )
+    least = NormalDist().inv_cdf(1 - CHANCE_WORDS / max(long.count(), 1))
     rank = Window.partitionBy("own.domain").orderBy(F.col("own.z").desc(), "word")
-    best = long.withColumn("rank", F.row_number().over(rank)).filter((F.col("rank") <= WORDS_PER_DOMAIN) & (F.col("own.z") > LEAST_Z))
+    best = long.withColumn("rank", F.row_number().over(rank)).filter((F.col("rank") <= WORDS_PER_DOMAIN) & (F.col("own.z") > least))
     rows = {r.word: [r[f"n{k}"] for k in range(len(domains))] for r in best.collect()}
     words = sorted(rows)
     share = np.array([[(rows[w][k] + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)] for w in words]).reshape(-1, len(domains))
