@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from billmill.functions import text
-from billmill.operators import grid
+from billmill.functions import money, text
+from billmill.operators import grid, pages
 
 
 def plan_of(df) -> str:
@@ -34,3 +34,21 @@ def test_cells_as_lines(spark):
     cells = "array(struct(0 AS row, 'a' AS value), struct(0 AS row, 'b' AS value), struct(2 AS row, '' AS value), struct(2 AS row, 'c' AS value), struct(3 AS row, 'd' AS value))"
     row = spark.range(1).select(F.expr(cells).alias("c")).select(text.lines_of_cells(F.col("c")).alias("t")).first()
     assert row.t == "a b\n c\nd"
+
+
+def test_filters_on_receipts_read_nothing_again(spark):
+    lines = spark.createDataFrame(
+        [("f", 1, 0, "Bill No: B-7"), ("f", 1, 1, "Date: 3 May 2001"), ("f", 1, 2, "Total Rs. (1,23,456.50)")],
+        "file_id string, page int, line_no int, text string")
+    read = pages.read_receipts(lines)
+    filters = [line for line in plan_of(read).splitlines() if "Filter " in line]
+    assert filters and not any("regexp_extract" in line.lower() or "strongest" in line for line in filters)
+    found = read.first()
+    assert (found.receipt_number, str(found.receipt_date), str(found.total)) == ("B-7", "2001-05-03", "-123456.50")
+
+
+def test_amounts_of_digits_and_commas_read_as_before(spark):
+    printed = {"1,23,456.50": "123456.50", "1,,2": "12.00", "-5": "-5.00", "--5": "5.00", "5\n": "5.00", "5.": None, "(5)": "-5.00",
+               "9,.5": "9.50", "\u0663": None, "12.345": "12.35", "": None, "99999999999": None}
+    rows = spark.createDataFrame([(v,) for v in printed], "v string").select("v", money.parse_amount(F.col("v")).alias("a"))
+    assert {r.v: None if r.a is None else str(r.a) for r in rows.collect()} == printed
