@@ -1,10 +1,11 @@
 """Landed files: hashing, what kind of file the bytes are, and delimited text as cells."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from billmill.functions.text import let
+from billmill.functions.text import let, lines_of_cells
 from billmill.model import MAX_UPLOAD_BYTES
+from billmill.operators.skew import spread
 
 # fixed values: the characters Windows-1252 has where Latin-1 has control codes
 WINDOWS_CODES = "".join(map(chr, (
@@ -59,7 +60,7 @@ def lines_of(text: Column) -> Column:
     """The lines that are not blank."""
     return F.filter(
         F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"),
-        lambda line: F.trim(F.regexp_replace(line, r"\s", "")) != "",
+        lambda line: line.rlike(r"\S"),
     )
 
 
@@ -218,9 +219,10 @@ def _fields(record: Column, delimiter: str) -> Column:
 def csv_cells(files: DataFrame, file_id: str = "file_id", content: str = "text") -> DataFrame:
     """Delimited text as cells, each file with its own delimiter. Blank cells are null.
     Records may hold line breaks inside quotes; rows may have different widths. Files are
-    exchanged before they are read, as reading is heavy and a scan may be one part."""
+    exchanged before they are read, as reading is heavy and a scan may be one part; by their
+    size, as cells take many times the room of the text they come from."""
     sample = F.substring(content, 1, SNIFF_BYTES)
-    picked = files.repartition(file_id).select(
+    picked = spread(files, file_id, F.length(content)).select(
         file_id, F.col(content).alias("_text"), pick_delimiter(sample).alias("_d")
     )
     rows = picked.select(
@@ -230,23 +232,20 @@ def csv_cells(files: DataFrame, file_id: str = "file_id", content: str = "text")
     for d in DELIMITERS:
         cells = F.when(F.col("_d") == d, _fields(F.col("_record"), d)).otherwise(cells)
     flat = rows.select(file_id, "row", F.posexplode(cells).alias("col", "_cell"))
-    blank = F.trim(F.regexp_replace("_cell", r"\s", "")) == ""
     return flat.select(
         file_id, F.lit("csv").alias("sheet"), "row", "col",
-        F.when(~blank, F.col("_cell")).alias("value"), F.lit(False).alias("is_number"),
+        F.when(F.col("_cell").rlike(r"\S"), F.col("_cell")).alias("value"), F.lit(False).alias("is_number"),
     )
 
 
 def trim_cells(cells: DataFrame) -> DataFrame:
-    """Without the empty rows and columns at the end of each sheet."""
-    keys = ["file_id", "sheet"]
-    edges = (
-        cells.filter(F.col("value").isNotNull())
-        .groupBy(*keys)
-        .agg(F.max("row").alias("_row"), F.max("col").alias("_col"))
-    )
+    """Without the empty rows and columns at the end of each sheet. The edges are a window, not a
+    join, which would read the sheets twice."""
+    sheet = Window.partitionBy("file_id", "sheet")
+    last = lambda at: F.max(F.when(F.col("value").isNotNull(), F.col(at))).over(sheet)
+    edged = cells.withColumns({"_row": last("row"), "_col": last("col")})
     inside = (F.col("row") <= F.col("_row")) & (F.col("col") <= F.col("_col"))
-    return cells.join(edges, keys).filter(inside).drop("_row", "_col")
+    return edged.filter(inside).drop("_row", "_col")
 
 
 def row_texts(cells: DataFrame, between: str = " ") -> DataFrame:
@@ -259,11 +258,12 @@ def row_texts(cells: DataFrame, between: str = " ") -> DataFrame:
 
 
 def sheet_texts(cells: DataFrame) -> DataFrame:
-    """Each sheet as text, a line per row, for learning labels."""
-    packed = F.array_sort(F.collect_list(F.struct("row", "text")))
-    return row_texts(cells).groupBy("file_id", "sheet").agg(
-        F.array_join(F.transform(packed, lambda x: x["text"]), "\n").alias("text")
-    )
+    """Each sheet as text, a line per row, for learning labels. The cells of a sheet meet once;
+    its size is limited with the file's."""
+    filled = cells.filter(F.col("value").isNotNull())
+    packed = F.array_sort(F.collect_list(F.struct("row", "col", "value")))
+    sheets = filled.repartition("file_id").groupBy("file_id", "sheet").agg(packed.alias("_cells"))
+    return sheets.select("file_id", "sheet", lines_of_cells(F.col("_cells")).alias("text"))
 
 
 def csv_texts(cells: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from billmill.functions import money, text
-from billmill.operators import grid, pages
+from billmill.operators import grid, pages, skew
+from billmill.sources import landing
 
 
 def plan_of(df) -> str:
@@ -52,3 +53,20 @@ def test_amounts_of_digits_and_commas_read_as_before(spark):
                "9,.5": "9.50", "\u0663": None, "12.345": "12.35", "": None, "99999999999": None}
     rows = spark.createDataFrame([(v,) for v in printed], "v string").select("v", money.parse_amount(F.col("v")).alias("a"))
     assert {r.v: None if r.a is None else str(r.a) for r in rows.collect()} == printed
+
+
+def test_parts_follow_the_size_of_the_texts(spark):
+    files = spark.createDataFrame([(str(i), "a,b\n" * 50) for i in range(40)], "file_id string, text string")
+    held = skew.spread(files, "file_id", F.length("text"), part_size=200)
+    assert held.rdd.getNumPartitions() == -(-40 * (200 + skew.ROW_SIZE) // 200)
+    assert skew.spread(files.limit(0), "file_id", F.length("text")).rdd.getNumPartitions() >= 1
+
+
+def test_sheets_are_trimmed_and_written_without_reading_twice(spark):
+    files = spark.createDataFrame([("f", "a,b,,\n\n1,\"x\"\"y\",,\n,,,\n")], "file_id string, text string")
+    trimmed = landing.trim_cells(landing.csv_cells(files))
+    assert "Join" not in plan_of(trimmed)
+    assert sorted((r.row, r.col, r.value) for r in trimmed.filter("value IS NOT NULL").collect()) == [(0, 0, "a"), (0, 1, "b"), (2, 0, "1"), (2, 1, 'x"y')]
+    texts = landing.sheet_texts(bill_cells(spark).withColumn("sheet", F.col("file_id")))
+    assert plan_of(texts).count("Exchange hashpartitioning") == 1
+    assert [r.text for r in texts.collect()] == ["Item Amount\nTea 4.50\n \u00a0\t"]
