@@ -7,6 +7,7 @@ from billmill.functions import labels, money
 from billmill.functions.text import normalize_label
 from billmill.model import LEARNED_FIELDS, SHARED_LABEL_VENDORS
 from billmill.operators.registry import insert_if_absent, vendor_key
+from billmill.operators.skew import spread
 
 def by_field(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
     """subtotal, tax and total as rows (field, amount); null ones are left out."""
@@ -89,21 +90,24 @@ def matches(receipts: DataFrame, known: DataFrame, vendors: DataFrame) -> DataFr
     with a learned label and holds an amount. Each line is known by the few starts of it that
     a label can be, and meets labels by equality on the whole label, so a first word that many
     labels share brings no rows together; of the labels that fit the longest counts."""
-    keyed = vendor_key(wanting(receipts), "vendor", vendors)
+    wanted = wanting(receipts)
+    keyed = spread(vendor_key(wanted, "vendor", vendors), "id", F.length("text"), of=wanted)
     gaps = F.filter(
         F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in LEARNED_FIELDS]),
         lambda f: f.isNotNull(),
     )
     parts = parts_of(keyed.withColumn("_gaps", gaps), ["id", "vendor_key", "_gaps", "text"])
     parts = parts.drop("text").withColumn("_plain", normalize_label(F.col("part")))
-    parts = parts.filter(F.col("part").rlike("[0-9]") & (F.col("_plain") != ""))
     longest = known.agg(F.max(F.length("label"))).first()[0] or 1  # one number
-    parts = parts.withColumn("label", F.explode(starts_of(F.col("_plain"), longest)))
-    words = known.select("vendor_key", "field", "label").distinct()
-    shared = shared_labels(known).select("field", "label")
-    both = parts.join(words, ["vendor_key", "label"]).select(*parts.columns, "field").unionByName(
-        parts.join(shared, "label").select(*parts.columns, "field")
-    )
+    filled = F.when(F.col("part").rlike("[0-9]") & (F.col("_plain") != ""), starts_of(F.col("_plain"), longest))
+    parts = parts.withColumn("label", F.explode(filled))
+    # The vendor's own labels and the shared ones, in one join: with two the texts are read twice.
+    own = known.select(F.col("vendor_key").alias("_by"), F.lit(True).alias("_own"), "field", "label").distinct()
+    shared = shared_labels(known).select(F.lit("").alias("_by"), F.lit(False).alias("_own"), "field", "label")
+    by = F.array(F.struct(F.col("vendor_key").alias("_by"), F.lit(True).alias("_own")),
+                 F.struct(F.lit("").alias("_by"), F.lit(False).alias("_own")))
+    asked = parts.select("*", F.inline(by))
+    both = asked.join(own.unionByName(shared), ["_by", "_own", "label"]).select(*parts.columns, "field")
     fitting = both.filter(F.array_contains("_gaps", F.col("field")))
     rank = F.struct(
         -F.length("label"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from billmill.functions import money, text
-from billmill.operators import grid, pages, skew
+from billmill.operators import grid, learning, pages, skew
 from billmill.sources import landing
 
 
@@ -70,3 +70,16 @@ def test_sheets_are_trimmed_and_written_without_reading_twice(spark):
     texts = landing.sheet_texts(bill_cells(spark).withColumn("sheet", F.col("file_id")))
     assert plan_of(texts).count("Exchange hashpartitioning") == 1
     assert [r.text for r in texts.collect()] == ["Item Amount\nTea 4.50\n \u00a0\t"]
+
+
+def test_learned_labels_read_texts_once(spark):
+    receipts = spark.createDataFrame(
+        [(1, "Shop", "to settle 4.50"), (2, "Other", "levy 2.00\nto settle 9.00"), (3, None, "levy 3.00"), (4, "Shop", "levy -")],
+        "id long, vendor string, text string").withColumns({f: F.lit(None).cast("decimal(12,2)") for f in ("subtotal", "tax", "total")})
+    vendors = spark.createDataFrame([(1, "Shop", "Shop"), (2, "Other", "Other")], "id long, raw_name string, normalized_name string")
+    known = spark.createDataFrame(
+        [("shop", "total", "to settle")] + [(v, "tax", "levy") for v in ("a", "b", "c")], "vendor_key string, field string, label string")
+    found = learning.matches(receipts, known, vendors)
+    assert plan_of(found).count("Generate posexplode") == 2
+    got = sorted((r.id, r.field, r.label, str(r.amount)) for r in found.collect())
+    assert got == [(1, "total", "to settle", "4.50"), (2, "tax", "levy", "2.00"), (3, "tax", "levy", "3.00")]
