@@ -1,5 +1,7 @@
 """Work that has to grow no faster than the input: what the plans exchange, and how often they read."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from billmill.functions import money, text
@@ -83,3 +85,14 @@ def test_learned_labels_read_texts_once(spark):
     assert plan_of(found).count("Generate posexplode") == 2
     got = sorted((r.id, r.field, r.label, str(r.amount)) for r in found.collect())
     assert got == [(1, "total", "to settle", "4.50"), (2, "tax", "levy", "2.00"), (3, "tax", "levy", "3.00")]
+
+
+def test_composed_text_below_300_is_not_sent_to_python(spark, monkeypatch):
+    edges = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    assert sorted(edges) == sorted(text.EDGE_SPACES)
+    values = [edges + "a b" + edges, "e\u0301t\u00e9 ", "\u00e9\u02ff\x85", "\uac00\u11a8", "\U0001d15e ", "", None, "\u2000"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(text.composed(F.col("v")).alias("c")).collect()
+    assert [r.c for r in rows] == [None if v is None else unicodedata.normalize("NFC", v).strip() for v in values]
+    monkeypatch.setattr(text, "_nfc", lambda names: names.map(lambda name: None if name is None else "sent"))
+    sent = spark.createDataFrame([("caf\u00e9",), ("cafe\u0301",)], "v string").select(text.composed(F.col("v")).alias("c")).collect()
+    assert [r.c for r in sent] == ["caf\u00e9", "sent"]
