@@ -152,7 +152,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
         sided = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
         return within(sided.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"), edits)
 
-    labels = components_of_groups(rows, verified, f"bit_count(odd ^ pivot_odd) <= {2 * edits}")
+    labels = components_of_groups(rows, verified, f"bit_count(odd ^ pivot_odd) <= {2 * edits}", same=("rep", "own"))
     if labels is not None:
         slim = slim.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("h", F.coalesce("component", "h"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")

@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billmill.llm.common import staged, text_blocks
@@ -17,6 +17,8 @@ LOW = np.uint64(2**64 * 3 // 10)  # tokens below it are seen in the first order
 ORDERS = (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)  # seeds of two more orders
 SLOTS = 1 << 20
 TOKENS = "doc_id long, need int, tokens array<long>"
+SHORT = 48  # bits of a token that is exchanged; those above hold in how many texts it is
+MOST_TEXTS = (1 << 63 - SHORT) - 1
 
 
 def token_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -26,6 +28,11 @@ def token_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         yield np.unique(hashes[a:b])
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """The upper bits of tokens. Two that agree in them only let more pairs be compared."""
+    return (tokens >> np.uint64(64 - SHORT)).view(np.int64)
+
+
 def spare(size: int | np.ndarray, percent: int = PERCENT):
     """How many tokens of a set may be missing from a set that it links with."""
     return size - (size * percent + 99) // 100
@@ -69,7 +76,7 @@ def _first_order(percent: int, words: int):
                     shown.append(tokens[: max(low, may + 1)])
                     need.append(max(low - may, 1))
                 ends = np.cumsum([0, *map(len, shown)]).astype(np.int32)
-                flat = np.concatenate([*shown, np.zeros(0, np.uint64)]).view(np.int64)
+                flat = _short(np.concatenate([*shown, np.zeros(0, np.uint64)]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id").cast(pa.int64()),
@@ -83,23 +90,22 @@ def _first_order(percent: int, words: int):
 
 
 def _all_tokens(percent: int, words: int):
-    """doc_id, a hash of the set, need and all tokens: a link shares all but `spare` of them."""
+    """doc_id, a hash of the set and all tokens."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
                 sets = list(token_sets(block.column("text"), words))
                 sizes = np.array([len(s) for s in sets])
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                flat = _short(np.concatenate([*sets, np.zeros(0, np.uint64)]))
                 which = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id").cast(pa.int64()),
                         pa.array(which),
-                        pa.array((sizes - spare(sizes, percent)).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)),
                     ],
-                    names=["doc_id", "which", "need", "tokens"],
+                    names=["doc_id", "which", "tokens"],
                 )
 
     return read
@@ -153,6 +159,12 @@ def _only(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(kept, "doc_id long, text string")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose token is in several rows, and in how many (texts). The rows are read and
+    exchanged once; those of one token, a few numbers each, are counted in one task."""
+    return rows.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).filter("texts > 1")
+
+
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable over
     links, where two texts link when percent of the union of their shingles is common.
@@ -180,21 +192,24 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
 
     shown = docs.mapInArrow(_first_order(percent, words), TOKENS).filter("doc_id IS NOT NULL")
     shown = shown.select("doc_id", "need", F.explode("tokens").alias("token"))
-    shared = staged(shown.groupBy("token").count().filter("count > 1").select("token"), "shared")
-    met = shown.join(shared, "token").groupBy("doc_id", "need").count().filter(F.col("count") >= F.col("need"))
+    met = _shared(shown).groupBy("doc_id", "need").count().filter(F.col("count") >= F.col("need"))
     met = staged(met.select("doc_id").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "met")
 
     texts = _only(met, docs).join(met, "doc_id", "left_semi")
-    held = texts.mapInArrow(_all_tokens(percent, words), "doc_id long, which long, need int, tokens array<long>")
-    held = held.dropDuplicates(["doc_id", "which"])
-    held = held.select("doc_id", "which", "need", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    shared = staged(held.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared-by-some")
+    held = texts.mapInArrow(_all_tokens(percent, words), "doc_id long, which long, tokens array<long>")
+    # an id that is there once needs nothing more to name its text
+    repeated = not sets.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    held = held.dropDuplicates(["doc_id", "which"]) if repeated else held.withColumn("which", F.lit(0).cast("long"))
+    held = held.select("doc_id", "which", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    need = F.expr(f"(size * {percent} + 99) div 100").cast("int")
     part = F.floor(F.log(F.col("need").cast("double")) / F.log(F.lit(105 / percent))).cast("int")
     more_needed = F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int")
+    rarest_first = F.shiftleft(F.least("texts", F.lit(MOST_TEXTS)), SHORT).bitwiseOR(F.col("token"))
     rows = (
-        held.join(shared, "token")
-        .groupBy("doc_id", "which", "need", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("tokens"))
+        _shared(held)
+        .groupBy("doc_id", "which", "size")
+        .agg(F.array_sort(F.collect_list(rarest_first)).alias("tokens"))
+        .withColumn("need", need)
         .filter(F.size("tokens") >= F.col("need"))
         .select(
             F.col("doc_id").alias("rep"),
@@ -202,16 +217,21 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
             F.size("tokens").alias("shared"),
             part.alias("part"),
             (F.size("tokens") - more_needed + 1).alias("owned"),
-            F.posexplode(F.slice("tokens.token", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("place", "token"),
+            F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)).alias("place", "token"),
         )
-        .select("rep", "size", "shared", (F.col("place") < F.col("owned")).alias("own"),
-                F.explode(F.array(F.xxhash64("token", "part"), F.xxhash64("token", F.col("part") + 1))).alias("token"))
+        .select(
+            "rep", "size", "shared", (F.col("shared") - F.col("place")).alias("rest"), (F.col("place") < F.col("owned")).alias("own"),
+            F.inline(F.array(
+                F.struct(F.xxhash64("token", "part").alias("token"), F.lit(False).alias("up")),
+                F.struct(F.xxhash64("token", F.col("part") + 1).alias("token"), F.lit(True).alias("up")),
+            )),
+        )
     )
-    rows = staged(rows, "rows")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = _only(ids, docs).withColumn("which", F.xxhash64("text")).dropDuplicates(["doc_id", "which"])
+        texts = _only(ids, docs).withColumn("which", F.xxhash64("text"))
+        texts = texts.dropDuplicates(["doc_id", "which"]) if repeated else texts
         sided = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
         sided = sided.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("which").alias("which_a")), "a")
         return sided.select("a", "which_a", "b", "text", "text_a").mapInArrow(_verified(percent, words), "a long, b long")
@@ -223,10 +243,14 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     labels = components_of_groups(
         rows,
         verified,
-        may_link=f"least(shared, pivot_shared) * {100 + percent} >= {percent} * (size + pivot_size)",
+        # the first token that two sets have in common leaves enough after it in both
+        may_link=f"NOT (up AND pivot_up) AND least(rest, pivot_rest) * {100 + percent} >= {percent} * (size + pivot_size)",
         may_stay=f"shared * {100 + percent} >= {percent} * (size + least_size)",
         known=same_id,
         central=("size - shared",),  # the fewest tokens of its own: what the others were made from
+        may_meet="max(own) AND NOT min(up)",
+        same=("rep", "size", "shared", "up"),
+        first="-sum(rest)",
     )
     merged = firsts if labels is None else (
         firsts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
