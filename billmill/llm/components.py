@@ -59,7 +59,7 @@ def different_groups(rows: DataFrame, may_meet: str, same: tuple[str, ...], firs
         F.expr(first).alias("first"), F.expr(may_meet).alias("meet"),
     ).filter("n > 1 AND meet")
     kept = groups.groupBy("n", "x", "s").agg(F.min(F.struct("first", "token")).alias("kept"))
-    return rows.join(kept.select("kept.token"), "token", "left_semi")
+    return rows.join(kept.select("kept.token"), "token")  # each token once; a semi-join would go below the exchange
 
 
 def components_of_groups(
