@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from billmill.functions import dates, money, text
 from billmill.operators import checks, quality
 from billmill.plans.registry import query
+from billmill.session import staged
 from billmill.sources import bindings as b
 
 
@@ -416,11 +417,18 @@ def _(spark, d):
     return checks.item_sums(b.item_amounts(spark, d))
 
 
+CHECKED = ["id", "file_id", "seq", "ref_no", "vendor", "normalized_name", "status", "receipt_number",
+           "receipt_date", "subtotal", "tax", "total", "items_total", "items"]
+
+
 def named_receipts(spark, d):
+    """Receipts as the checks read them. Each check reads them, and duplicates twice, so their
+    sums and joins are worked out once and written: a task of a check holds none of them."""
     v = b.vendors(spark, d).select(F.col("id").alias("vendor_id"),
                                    F.col("raw_name").alias("vendor"), "normalized_name")
     f = b.files(spark, d).select(F.col("id").alias("file_id"), "status")
-    return b.priced_receipts(spark, d).join(v, "vendor_id").join(f, "file_id")
+    named = b.priced_receipts(spark, d).join(v, "vendor_id").join(f, "file_id")
+    return staged(named.select(*CHECKED), "checked-receipts")
 
 
 # Amounts below and above a thousand, printed as the messages print them.

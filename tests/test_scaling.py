@@ -5,8 +5,9 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from billmill.functions import money, text
-from billmill.operators import grid, learning, pages, skew
-from billmill.sources import landing
+from billmill.operators import checks, grid, learning, pages, skew
+from billmill.plans import checking
+from billmill.sources import bindings, landing
 
 
 def plan_of(df) -> str:
@@ -96,3 +97,10 @@ def test_composed_text_below_300_is_not_sent_to_python(spark, monkeypatch):
     monkeypatch.setattr(text, "_nfc", lambda names: names.map(lambda name: None if name is None else "sent"))
     sent = spark.createDataFrame([("caf\u00e9",), ("cafe\u0301",)], "v string").select(text.composed(F.col("v")).alias("c")).collect()
     assert [r.c for r in sent] == ["caf\u00e9", "sent"]
+
+
+def test_checked_receipts_are_worked_out_once(spark, sf_dir):
+    found = checking.all_problems(spark, sf_dir)
+    assert found.inputFiles() and not any(sf_dir in path for path in found.inputFiles())
+    assert "Join" not in plan_of(checks.arithmetic_problems(checking.named_receipts(spark, sf_dir)))
+    assert "Join" not in plan_of(checks.date_problems(checking.named_receipts(spark, sf_dir), today=bindings.today()))
