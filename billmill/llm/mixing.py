@@ -111,21 +111,22 @@ def classified(docs: DataFrame, model: Classifier, keep: str = "doc_id") -> Data
     return found.select(F.col("kept").alias(keep), "n_tokens", "posterior")
 
 
-def _rate(posterior: Column, history: list[list[float]]) -> Column:
-    """The rate after all steps: from 1, less the step of each round, never below 0."""
+def _rate(posterior: Column, history: list[list[float]], most: float | None = None) -> Column:
+    """The rate after all steps: from 1, less the step of each round, never below 0 or above `most`."""
     if not history:
         return F.lit(1.0)
     steps = F.array(*(F.array(*map(F.lit, step)) for step in history))
     dot = lambda step: F.aggregate(F.zip_with(posterior, step, lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(steps, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - dot(step)))
+    held = lambda rate: F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
+    return F.aggregate(steps, F.lit(1.0), lambda rate, step: held(rate - dot(step)))
 
 
 def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] | None, total: float | None = None,
-              drop: tuple[str, ...] = ()) -> list[list[float]]:
+              drop: tuple[str, ...] = (), most: float | None = None) -> list[list[float]]:
     """Steps of projected-gradient least squares for the rates of classified documents.
 
     Minimised is the sum over domains of (expected tokens - target)^2, each divided by the
-    domain's scale, over rates of 0 or more. Expected tokens of a domain are the sum over
+    domain's scale, over rates of 0 or more, up to `most` where it is given. Expected tokens of a domain are the sum over
     documents of rate * n_tokens * posterior. The gradient is taken in the metric of the
     tokens, so a document's rate depends on its posterior alone; documents are summed up by
     posterior once (three places, so there are at most about 1000^(domains - 1) / 2 of them),
@@ -153,7 +154,7 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] |
         if np.abs(have - want).sum() <= CLOSE * max(want.sum(), 1.0):
             break
         history.append((step * (have - want) / scale).tolist())
-        rate = _rate(F.col("posterior"), history)
+        rate = _rate(F.col("posterior"), history, most)
         row = cells.select(*(F.col("tokens") * at(k) * rate for k in range(n))).toDF(*map(str, range(n)))
         before, have = have, np.array(row.agg(*(F.sum(str(k)) for k in range(n))).first(), float)
         if np.abs(have - before).sum() <= STILL * max(before.sum(), 1.0):
@@ -167,23 +168,24 @@ def domain_of_labels() -> Column:
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None,
-          drop: tuple[str, ...] = ()) -> DataFrame:
+          drop: tuple[str, ...] = (), most: float | None = None) -> DataFrame:
     """Every row of docs as `row` (a struct of all its columns) with `copies`, a whole number. Rows
     are as for `mix`.
 
     A row has no copy if its posterior for the domains in `drop` together is above CLEAR. The
     others are drawn by their rate: its whole part, and one more by a hash of the text with the
-    chance of the rest, so equal texts are drawn alike. Without targets, where the domains keep
-    what they have, they have the rounded rate and one copy at least.
+    chance of the rest, so equal texts are drawn alike. `most` bounds the rates; with 1 no row is
+    drawn twice. Without targets, where the domains keep what they have, and without `most`, they
+    have the rounded rate and one copy at least.
     """
     model = fit(docs, labels)
-    history = fit_rates(classified(docs, model), model.domains, targets, total, drop)
+    history = fit_rates(classified(docs, model), model.domains, targets, total, drop, most)
     both = F.struct(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64("text", F.lit(SEED)).alias("drawn"))
     rated = classified(docs.select(both.alias("both"), F.col("text")), model, "both")
     dropped = sum((F.element_at("posterior", k + 1) for k, d in enumerate(model.domains) if d in drop), F.lit(0.0))
     chance = F.pmod(F.col("both.drawn"), F.lit(1 << 20)) / float(1 << 20)
-    rate = _rate(F.col("posterior"), history)
-    copies = F.greatest(F.round(rate), F.lit(1)) if targets is None else F.floor(rate + chance)
+    rate = _rate(F.col("posterior"), history, most)
+    copies = F.greatest(F.round(rate), F.lit(1)) if targets is None and most is None else F.floor(rate + chance)
     return settled(rated, copies=F.when(dropped > CLEAR, 0).otherwise(copies).cast("int")).select("both.row", "copies")
 
 

@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,37 @@ def test_drawn_leaves_out_toxic_and_keeps_clean_text(spark, sf_dir):
     clean = [r for r in rows if r.row.doc_id not in worded and toxic.get(r.row.doc_id) == 0]
     assert sum(r.copies > 0 for r in rows if r.row.doc_id in worded) <= 0.06 * len(worded)
     assert sum(r.copies == 0 for r in clean) <= 0.002 * len(clean)
+
+
+def test_bounded_rates_against_numpy(spark):
+    """Rates of at most 1: the steps of projected gradient descent in numpy."""
+    source = np.random.default_rng(5)
+    post, tokens = source.dirichlet([0.3, 0.3, 0.3], 200).round(3), source.integers(1, 500, 200)
+    found = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, post)], "n_tokens long, posterior array<double>")
+    history = mixing.fit_rates(found, ["a", "b", "c"], None, drop=("c",), most=1)
+    rates = np.array([r[0] for r in found.select(mixing._rate(F.col("posterior"), history, 1)).collect()])
+    want, gram = tokens @ post * [1, 1, 0], (post * tokens[:, None]).T @ post
+    scale = np.diag(gram)
+    step, expected = 1 / np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale))).max(), np.ones(200)
+    for _ in range(len(history)):
+        expected = np.clip(expected - post @ (step * ((expected * tokens) @ post - want) / scale), 0, 1)
+    assert len(history) > 1 and np.abs(rates - expected).max() < 1e-6
+
+
+def test_pipeline_draws_by_the_fitted_rates(spark, sf_dir):
+    """Which documents stay follows from the rates, below the cut for clearly toxic ones too."""
+    path = sf_dir.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", mixing.domain_of_labels().alias("domain"))
+    model = mixing.fit(docs, labels)
+    found = mixing.classified(docs, model)
+    history = mixing.fit_rates(found, model.domains, None, drop=("toxic",), most=1)
+    rated = found.withColumn("rate", mixing._rate(F.col("posterior"), history, 1)).join(docs, "doc_id")
+    chance = F.pmod(F.xxhash64("text", F.lit(mixing.SEED)), F.lit(1 << 20)) / float(1 << 20)
+    at = model.domains.index("toxic")
+    rows = rated.select("doc_id", "posterior", "rate", chance.alias("chance")).collect()
+    unclear = [r for r in rows if r.posterior[at] <= mixing.CLEAR]
+    stay = {r.doc_id for r in unclear if r.rate + r.chance >= 1}
+    kept = [r.doc_id for r in corpus_pipeline.mixing_sources(spark, docs, path).collect()]
+    assert sorted(kept) == sorted(stay)
+    assert {r.doc_id for r in unclear if r.rate == 0} - stay and len(stay) < len(unclear) <= 1.02 * len(stay)
