@@ -104,3 +104,44 @@ def test_checked_receipts_are_worked_out_once(spark, sf_dir):
     assert found.inputFiles() and not any(sf_dir in path for path in found.inputFiles())
     assert "Join" not in plan_of(checks.arithmetic_problems(checking.named_receipts(spark, sf_dir)))
     assert "Join" not in plan_of(checks.date_problems(checking.named_receipts(spark, sf_dir), today=bindings.today()))
+
+
+def test_words_are_folded_once_and_grouped_once(spark):
+    """Words of a page meet in one aggregate; their lines are stretches of them. Against the rule
+    taken word by word, over uneven boxes of different heights, ties and boxes without a text."""
+    import random
+
+    from billmill.operators import words
+
+    source, rows = random.Random(7), []
+    for page in range(1, 13):
+        for _ in range(source.randrange(1, 90)):
+            top = source.randrange(0, 400) / source.choice([1, 2, 3])
+            height = source.choice([0, 8, 20, 21, 60, -3])
+            rows.append((f"f{page % 3}", page, source.choice(["a", "b", "Total1", "x\ny", None]), float(source.randrange(6) * 50), top, top + height))
+    boxes = spark.createDataFrame(rows, "file_id string, page int, text string, left double, top double, bottom double")
+    boxes = boxes.filter("text IS NOT NULL OR left < 200")
+
+    def beside(a, b):
+        height = lambda w: max(w[5] - w[4], 1.0)
+        apart = abs((a[4] + a[5]) - (b[4] + b[5])) / 2
+        return apart <= max(a[5] - a[4], b[5] - b[4]) / 2 - min(height(a), height(b)) * words.EDGE
+
+    expected = {}
+    for key in {(r[0], r[1]) for r in rows}:
+        own = [r for r in rows if (r[0], r[1]) == key and (r[2] is not None or r[3] < 200)]
+        own.sort(key=lambda w: ((w[4] + w[5]) / 2, w[3], w[4], w[5], w[2] is not None, w[2] or ""))
+        firsts, lines = [], []
+        for at, w in enumerate(own):
+            joined = [n for n in reversed(range(max(0, len(firsts) - words.LINES_LOOKED_AT), len(firsts))) if beside(firsts[n], w)]
+            if not joined:
+                firsts.append(w)
+                lines.append([])
+            lines[joined[0] if joined else -1].append((w[3], at, w[2]))
+        for n, line in enumerate(lines):
+            expected[(*key, n)] = " ".join(t for _, _, t in sorted(line, key=lambda w: w[:2]) if t is not None)
+    found = words.words_to_lines(boxes)
+    got = {(r.file_id, r.page, r.line_no): r.text.replace("Total 1", "Total1") for r in found.collect()}
+    assert got == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1, plan
