@@ -145,3 +145,20 @@ def test_words_are_folded_once_and_grouped_once(spark):
     assert got == expected
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1, plan
+
+
+def test_dates_are_searched_for_only_where_they_can_be(spark):
+    """A text without a date's label or a month's name is not searched for dates after or with it;
+    what is found stays the same, for letters too that only Unicode takes for others."""
+    from billmill.functions import dates
+    from billmill.operators import pages
+
+    texts = ["DATE: 3 Mar 2024", "Dated 03/04/2024", "İnvoice Date 1-1-2024", "5 ſep 2023", "ſep 4, 2023", "Bill\tDate 2024-02-03 Txn  date 1.2.2024",
+             "no day here 12 34", "12 mai 2024", "7th of Oct 2024 8 Oct 2024", "x\u00017 JUN 24", "update 2024-05-06", "", None, "₹ 5 dated 9 nov 2022"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = rows.select("id", pages.date_text(F.col("text")).alias("at")).select("id", "at", dates.find_date(F.col("at")).alias("day"))
+    days = {r.id: None if r.day is None else str(r.day) for r in found.collect()}
+    assert days == {0: "2024-03-03", 1: "2024-04-03", 2: "2024-01-01", 3: None, 4: None, 5: "2024-02-03", 6: None, 7: None,
+                    8: "2024-10-08", 9: "2024-06-07", 10: "2024-05-06", 11: None, 12: None, 13: "2022-11-09"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(lower(text") >= len(pages._DATE_PATTERNS) and dates.MONTH_SEEN.replace("(?iU)", "(?i)").lower() in plan
