@@ -162,3 +162,30 @@ def test_dates_are_searched_for_only_where_they_can_be(spark):
                     8: "2024-10-08", 9: "2024-06-07", 10: "2024-05-06", 11: None, 12: None, 13: "2022-11-09"}
     plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("contains(lower(text") >= len(pages._DATE_PATTERNS) and dates.MONTH_SEEN.replace("(?iU)", "(?i)").lower() in plan
+
+
+def test_cells_that_are_no_labels_carry_no_neighbours(spark):
+    """The windows over a sheet copy what a cell holds, so only labels hold what stands beside them."""
+    near = grid.with_neighbours(grid.read_cells(bill_cells(spark).unionByName(
+        spark.createDataFrame([("f", "Bill", 3, 0, "Total", False), ("f", "Bill", 3, 1, "Tax", False), ("f", "Bill", 4, 0, "4.50", True), ("f", "Bill", 4, 1, "0.50", True)],
+                              "file_id string, sheet string, row int, col int, value string, is_number boolean"))))
+    rows = {(r.row, r.col): (r.label and r.label.label, r.beside and (r.beside.text, r.beside.is_number)) for r in near.collect()}
+    assert rows == {(0, 0): (None, None), (0, 1): (None, None), (1, 0): (None, None), (1, 1): (None, None), (3, 0): ("total", ("4.50", True)),
+                    (3, 1): ("tax", ("0.50", True)), (4, 0): (None, None), (4, 1): (None, None)}
+
+
+def test_what_is_left_of_every_label(spark):
+    """The label found by halves is the one of the whole list, with what rest_after leaves of it."""
+    from billmill.functions import labels
+    from billmill.model import LABELS
+
+    after = ["", " ", ":- x\ny", " (", "\t12.50|", " ſ é", "s", " .İ₹ 5 "]
+    texts = [before + shown + tail for x in LABELS for shown in (x.text, x.text.upper().replace(" ", " . ")) for before in ("", "#(") for tail in after]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "no label", "totals", None]], "text string")
+    found = rows.select("text", labels.match_label(F.col("text")).alias("m")).withColumn(
+        "rest", labels.rest_after(F.col("text"), labels.value_pattern_column(F.col("m.label")))
+    )
+    known = {x.text: x for x in LABELS}
+    held = [r for r in found.collect() if r.m]
+    assert {x.text for x in LABELS if "#" not in x.text and not x.text.endswith(" no")} <= {r.m.label for r in held} <= set(known)
+    assert all((r.m.field, r.m.priority) == (known[r.m.label].field, known[r.m.label].rank) and r.m.rest == r.rest for r in held)
